@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import bpe, packing, splitting
+from . import bpe, neighbours, packing, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -14,6 +14,25 @@ def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
+# problem 2
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk_embeddings").select(F.col("chunk_id").alias("key"), F.col("embedding").alias("vector"))
+    questions = table(spark, d, "query_vectors").select(F.col("query_id").alias("key"), F.col("vectors").alias("vector"))
+    return neighbours.nearest(chunks, questions)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of cosine 0.90 or more of which one is among the 10 most similar chunk vectors of the other."""
+    return _nearest(spark, d).select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked neighbours of every vector, with their cosines."""
+    return _nearest(spark, d).select("kind", "key", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 # problem 4
 
 
@@ -90,4 +109,4 @@ s AS (SELECT corpus_version, arg_max(over_context, built_at) AS claimed FROM (SE
 SELECT k.*, s.claimed, k.over IS NOT DISTINCT FROM s.claimed AS claim_holds FROM k LEFT JOIN s USING (corpus_version)""",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
-QUERIES = {q.__name__: q for q in (p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_neighbours, p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill)}
