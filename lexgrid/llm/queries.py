@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import bpe, neighbours, packing, splitting
+from . import bpe, neighbours, packing, personal, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -33,6 +33,33 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).select("kind", "key", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+# problem 3
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of the turn tables, once each row."""
+    labelled = once(table(spark, d, "labelled_turns", "turn_id", "turn"), ["turn_id"]).select(F.lit("labelled_turns").alias("source_table"), F.col("turn_id").alias("row_key"), F.col("turn").alias("text"))
+    asked = once(table(spark, d, "turn_requests", "request_id", "question"), ["request_id"]).select(
+        F.lit("turn_requests").alias("source_table"), F.col("request_id").cast("string").alias("row_key"), F.col("question").alias("text")
+    )
+    return labelled.unionByName(asked)
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(_turns(spark, d), table(spark, d, "name_lexicon"), ["source_table", "row_key"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every item of personal information, with its place."""
+    found = _personal(spark, d).select("source_table", "row_key", F.explode("spans").alias("s"))
+    return found.select("source_table", "row_key", "s.kind", "s.start_char", "s.end_char")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return personal.redact(_personal(spark, d), ["source_table", "row_key"])
+
+
 # problem 4
 
 
@@ -109,4 +136,4 @@ s AS (SELECT corpus_version, arg_max(over_context, built_at) AS claimed FROM (SE
 SELECT k.*, s.claimed, k.over IS NOT DISTINCT FROM s.claimed AS claim_holds FROM k LEFT JOIN s USING (corpus_version)""",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
-QUERIES = {q.__name__: q for q in (p2_found, p2_neighbours, p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill)}
