@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import bpe, neighbours, packing, personal, splitting
+from . import bpe, garbled, neighbours, packing, personal, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -124,6 +124,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), _limit(spark, d, "container")[0])
 
 
+# problem 8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least one garbled sequence."""
+    return garbled.repair(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with what was found in them and their restored texts."""
+    return garbled.repair(table(spark, d, "documents"), "doc_id", "text")
+
+
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]'))"
 SQL = {
     "p4_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE {_TOKENS} > (SELECT max_tokens FROM token_limits WHERE limit_name = 'piece')",
@@ -136,4 +149,4 @@ s AS (SELECT corpus_version, arg_max(over_context, built_at) AS claimed FROM (SE
 SELECT k.*, s.claimed, k.over IS NOT DISTINCT FROM s.claimed AS claim_holds FROM k LEFT JOIN s USING (corpus_version)""",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
-QUERIES = {q.__name__: q for q in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p4_claims, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_restored)}
