@@ -3,16 +3,16 @@
 A forest of random-projection trees: in each tree all nodes of a level share one random direction and split at the median
 that a bounded sample has there. Every vector goes to its leaf in each tree; the branches not taken, of all trees together,
 wait in one priority queue by how narrowly they were missed, and the nearest `probes` of them are descended too. Vectors
-that share a leaf are candidates, compared in blocks over 8-bit codes; the candidates are then reranked with exact cosines.
+that share a leaf are candidates, compared in blocks over 4-bit codes; the candidates are then reranked with exact cosines.
 
-Only codes (dim bytes) travel to the leaves; exact vectors are read again for candidates alone. Thresholds take
+Only codes (half a byte a dimension) travel to the leaves; exact vectors are read again for candidates alone. Thresholds take
 4 bytes a node and at most 2^20 nodes a tree, and are fitted on `sample` vectors at most (the index holds every vector).
 
 Exact copies of a vector form a class; the forest sees one representative of each, so a group of copies, however large,
 is one row there, and its members take their neighbours from the class.
 
-Defined results: vectors that are null, of another length, all zero or not finite take no part; a repeated key counts
-once (its least row); ties in cosine go to the smaller key; a vector is no neighbour of itself; an empty side gives an empty result.
+Defined results: vectors that are null, of another length, all zero or not finite take no part; a repeated row counts
+once; a key with several vectors has the neighbours of all of them; ties in cosine go to the smaller key; a vector is no neighbour of itself; an empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MAX_DEPTH = 20
-#: 8-bit codes change a cosine by less than this (checked in the tests); candidates are kept so far below the threshold.
-SLACK = 0.012
+#: Rows of two or three numbers: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+#: 4-bit codes change a cosine by less than this (checked in the tests); candidates are kept so far below the threshold.
+SLACK = 0.09
 
 
 class Forest:
@@ -122,41 +124,74 @@ def _decode(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _hashed(raw: DataFrame) -> DataFrame:
+    """Adds two hashes of the vector, which name its class of exact copies, and an id (its lowest bit tells questions from chunks).
+
+    Two classes with one id would only add candidates, which the exact reranking then drops.
+    """
+    question = (F.col("kind") == "q").cast("bigint")
+    hashed = raw.withColumns({"h1": F.xxhash64("kind", "vector"), "h2": F.xxhash64("vector", "kind")})
+    return hashed.withColumn("id", F.col("h1").bitwiseAND(F.lit(-2)).bitwiseOR(question))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only what is known to have BROADCAST_ROWS rows at most; beyond that the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _coded(df: DataFrame, dim: int) -> DataFrame:
-    """(kind, key, vector) -> (kind, key, h1, h2, code) of the usable vectors."""
-    hashed = df.select("kind", "key", F.xxhash64("kind", "vector").alias("h1"), F.xxhash64("vector", "kind").alias("h2"), "vector")
+    """(kind, id, key, h1, h2, code) of the usable vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, x = _matrix(b.column(4), dim)
+            rows, x = _matrix(b.column(5), dim)
             if len(rows):
                 keep = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(i).take(keep) for i in range(4)] + [_codes(x)], names=["kind", "key", "h1", "h2", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(i).take(keep) for i in range(5)] + [_codes(x)], names=["kind", "id", "key", "h1", "h2", "code"])
+
+    wanted = df.select("kind", "id", "key", "h1", "h2", "vector").filter(F.size("vector") == dim)
+    return wanted.mapInArrow(run, "kind string, id bigint, key string, h1 bigint, h2 bigint, code binary")
+
 
-    return hashed.filter(F.size("vector") == dim).mapInArrow(run, "kind string, key string, h1 bigint, h2 bigint, code binary")
+def _halve(x: np.ndarray) -> np.ndarray:
+    """4-bit codes, two numbers a byte."""
+    q = np.clip(np.rint(x * (7 / np.abs(x).max(1, keepdims=True))), -7, 7).astype(np.int8) + 8
+    if q.shape[1] % 2:
+        q = np.concatenate((q, np.full((len(q), 1), 8, np.int8)), axis=1)
+    return (q[:, ::2] << 4 | q[:, 1::2]).astype(np.uint8)
+
+
+def _unhalve(column: pa.Array, width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    x = np.empty((len(raw), 2 * width), np.float32)
+    x[:, ::2], x[:, 1::2] = raw >> 4, raw & 15
+    x -= 8
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float, keep: int, dim: int) -> DataFrame:
-    """(kind, a, b): representatives that share a leaf and whose codes are similar; of each row's in a leaf the best `keep`."""
+    """(a, b): ids of representatives that share a leaf and whose codes are similar; of each row's in a leaf the best `keep`. a is the question if there is one."""
+    width = (dim + 1) // 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            leaves = forest.leaves(_decode(b.column(2), dim), probes)
-            again = pa.array(np.repeat(np.arange(b.num_rows), leaves.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel())] + [b.column(i).take(again) for i in range(3)], names=["leaf", "kind", "key", "code"])
+            x = _decode(b.column(1), dim)
+            leaves = forest.leaves(x, probes)
+            again = np.repeat(np.arange(b.num_rows), leaves.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), b.column(0).take(pa.array(again)), _binary(_halve(x)[again])], names=["leaf", "id", "code"])
 
-    def within(kind: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within(question: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query row, chunk row) of one leaf; of two chunks once."""
-        chunks, questions = np.flatnonzero(kind == "c"), np.flatnonzero(kind != "c")
+        chunks, questions = np.flatnonzero(~question), np.flatnonzero(question)
         c = x[chunks]
         left, right, score = [], [], []
         for rows, triangle in ((chunks, True), (questions, False)):
             for s in range(0, len(rows), 1024):
                 sims = x[rows[s : s + 1024]] @ (c[s:] if triangle else c).T
                 hit = np.flatnonzero(sims >= at_least - SLACK)
-                i, j = np.divmod(hit, sims.shape[1])
+                i, j = np.divmod(hit, max(1, sims.shape[1]))
                 if triangle:
                     off = j > i
                     hit, i, j = hit[off], i[off], j[off]
@@ -178,34 +213,34 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            if not table.num_rows:
+            leaf, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
+            if not len(leaf):
                 return
-            leaf = table.column(0).to_numpy()
-            kind, key = np.asarray(table.column(1).to_pylist(), dtype="U1"), table.column(2).combine_chunks()
-            x = _decode(table.column(3).combine_chunks(), dim)
+            question, x = (ids & 1) == 1, _unhalve(table.column(2), width)
             edge = np.append(np.flatnonzero(np.diff(leaf, prepend=-1)), len(leaf))
-            found = [(a + i, a + j) for a, b in zip(edge, edge[1:]) for i, j in [within(kind[a:b], x[a:b])] if len(i)]
+            found = [(a + i, a + j) for a, b in zip(edge, edge[1:]) for i, j in [within(question[a:b], x[a:b])] if len(i)]
             if found:
-                i, j = (pa.array(np.concatenate(v)) for v in zip(*found))
-                kinds = pa.array(kind[np.asarray(i)].tolist())
-                yield pa.RecordBatch.from_arrays([kinds, key.take(i), key.take(j)], names=["kind", "a", "b"])
+                i, j = (ids[np.concatenate(v)] for v in zip(*found))
+                swap = ((i & 1) == 0) & (i > j)
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                pairs = np.unique(np.stack((i, j), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for b in batches:
-            held.append(b)
-            whole = pa.Table.from_batches(held)
-            leaf = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(leaf, leaf[-1])) if len(leaf) else 0  # the last leaf may go on
-            if cut:
-                yield from done(whole.slice(0, cut))
-                held = whole.slice(cut).combine_chunks().to_batches()
+            if not b.num_rows:
+                continue
+            leaf = b.column(0).to_numpy()
+            cut = int(np.searchsorted(leaf, leaf[-1]))  # the last leaf may go on
+            if cut or (held and held[-1].column(0)[-1].as_py() != leaf[0]):
+                yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    placed = classes.select("kind", "key", "code").mapInArrow(place, "leaf int, kind string, key string, code binary")
-    met = placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "kind string, a string, b string")
-    both = F.col("kind") == "c"
-    return met.select("kind", F.when(both, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(both, F.greatest("a", "b")).otherwise(F.col("b")).alias("b")).distinct()
+    placed = classes.select("id", "code").mapInArrow(place, "leaf int, id bigint, code binary")
+    return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _cosine(a: str, b: str):
@@ -224,32 +259,33 @@ def nearest(
     """
     parts = [df.select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.col("vector").cast("array<float>").alias("vector")) for kind, df in (("c", chunks), ("q", questions)) if df is not None]
     raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    raw = raw.filter(F.col("key").isNotNull())
+    raw = _hashed(raw.filter(F.col("key").isNotNull()))
     n = raw.count()
     depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(n, 2) / leaf_size))))
     every = max(1, n // sample)
-    picked = _coded(raw.filter((F.col("kind") == "c") & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)), dim).select("code").limit(2 * sample)
+    picked = _coded(raw.filter((F.col("kind") == "c") & (F.pmod(F.col("h1"), F.lit(every)) == 0)), dim).select("code").limit(2 * sample)
     codes = [r[0] for r in picked.collect()]  # 2 * sample codes of dim bytes at most
     forest = Forest(_decode(pa.array([bytes(c) for c in codes], pa.binary()), dim) if codes else np.zeros((0, dim), np.float32), trees, depth)
 
-    rows = _coded(raw, dim).groupBy("kind", "key").agg(F.min(F.struct("h1", "h2", "code")).alias("r")).select("kind", "key", "r.h1", "r.h2", "r.code")
-    grouped = rows.groupBy("kind", "h1", "h2").agg(F.min(F.struct("key", "code")).alias("r"), F.count("*").alias("n"))
-    classes = grouped.select("kind", "r.key", "r.code")
+    classes = materialize(
+        _coded(raw, dim).groupBy("kind", "h1", "h2").agg(F.min(F.struct("key", "id", "code")).alias("r"), F.max("key").alias("last"))
+        .select("kind", "h1", "h2", "r.id", "r.key", "r.code", (F.col("r.key") != F.col("last")).alias("many"))
+    )
     pairs = materialize(_candidates(classes, forest, probes, at_least, 4 * (k + 1), dim))
 
     # exact vectors of the candidates alone
-    used = pairs.select("kind", F.col("a").alias("key")).unionByName(pairs.select(F.lit("c").alias("kind"), F.col("b").alias("key"))).distinct()
-    exact = raw.filter(F.size("vector") == dim).join(used, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.min(F.struct(F.xxhash64("kind", "vector").alias("h1"), "vector")).alias("r")).select("kind", "key", F.col("r.vector").alias("v"))
-    of_a = exact.select("kind", F.col("key").alias("a"), F.col("v").alias("va"))
-    of_b = exact.filter("kind = 'c'").select(F.col("key").alias("b"), F.col("v").alias("vb"))
-    ranked = pairs.join(of_a, ["kind", "a"]).join(of_b, "b").select("kind", "a", "b", _cosine("va", "vb").alias("cosine")).filter(F.col("cosine") >= at_least)
-    ranked = materialize(ranked)
+    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    some = raw.filter(F.size("vector") == dim).join(_small(used, 2 * pairs.count()), "id", "left_semi")
+    exact = some.repartition("id").groupBy("id", "kind", "h1", "h2").agg(F.first("vector").alias("v"), F.min("key").alias("key"))
+    of_a = exact.select(F.col("id").alias("ia"), "kind", F.col("key").alias("a"), F.col("v").alias("va"))
+    of_b = exact.filter("kind = 'c'").select(F.col("id").alias("ib"), F.col("key").alias("b"), F.col("v").alias("vb"))
+    named = pairs.select(F.col("a").alias("ia"), F.col("b").alias("ib")).join(of_a, "ia").join(of_b, "ib")
+    ranked = materialize(named.select("kind", "a", "b", _cosine("va", "vb").alias("cosine")).filter(F.col("cosine") >= at_least))
     directed = ranked.unionByName(ranked.filter("kind = 'c'").select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
 
     # classes of copies: the first k + 1 keys of a class stand for it as neighbours, each member is a row of its own
-    members = materialize(
-        rows.select("kind", "key", "h1", "h2").join(grouped.filter("n > 1").select("kind", "h1", "h2", F.col("r.key").alias("rep")), ["kind", "h1", "h2"]).select("kind", "rep", "key")
-    )
+    many = classes.filter("many").select("kind", "h1", "h2", F.col("key").alias("rep"))
+    members = materialize(raw.select("kind", "key", "h1", "h2").join(_small(many, many.count()), ["kind", "h1", "h2"]).select("kind", "rep", "key").distinct())
     by_key = Window.partitionBy("rep").orderBy("key")
     firsts = members.filter("kind = 'c'").withColumn("_r", F.row_number().over(by_key)).filter(F.col("_r") <= k + 1).select("rep", F.col("key").alias("first"))
     own = firsts.select(F.lit("c").alias("kind"), F.col("rep").alias("a"), F.col("first").alias("neighbour"), F.lit(1.0).alias("cosine"))
@@ -257,5 +293,6 @@ def nearest(
     best = Window.partitionBy("kind", "a").orderBy(F.desc("cosine"), "neighbour")
     near = near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     each = near.join(members.withColumnRenamed("rep", "a"), ["kind", "a"], "left").select("kind", F.coalesce("key", "a").alias("key"), "neighbour", "cosine")
+    each = each.filter((F.col("kind") == "q") | (F.col("key") != F.col("neighbour"))).groupBy("kind", "key", "neighbour").agg(F.max("cosine").alias("cosine"))
     last = Window.partitionBy("kind", "key").orderBy(F.desc("cosine"), "neighbour")
-    return each.filter((F.col("kind") == "q") | (F.col("key") != F.col("neighbour"))).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+    return each.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
