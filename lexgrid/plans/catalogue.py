@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy, references
+from . import hierarchy, references, retrieval, text
 
-_MODULES = [references, hierarchy]
+_MODULES = [references, hierarchy, text, retrieval]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
-FLAGSHIP = references.p1_report
+FLAGSHIP = retrieval.bm25_topk
