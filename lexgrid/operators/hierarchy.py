@@ -8,7 +8,7 @@
 3. A component of more than `largest` rows is never put into one task: its paths are built by doubling too, over
    arrays, with the same results.
 
-Input: nodes(scope, id, parent, mark); (scope, id) is unique. Defined results: null or blank parents make roots; a parent
+Input: nodes(scope, id, parent, mark) and, if wanted, carry, which comes out with the node as it is; (scope, id) is unique. Defined results: null or blank parents make roots; a parent
 that is no node of the scope gives `no_root` for the node and all below it; a node that is its own parent is a `cycle`;
 null ids take no part; a null scope is a scope like any other; a null mark counts as an empty one. Empty input gives an empty result.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-OUT = "scope string, id string, status string, root string, depth int, path string, ancestors array<string>, back_edge boolean"
+OUT = "scope string, id string, status string, root string, depth int, path string, ancestors array<string>, back_edge boolean, carry string"
 NO_SCOPE = "\x00"  # stands for a null scope, so that joins may use plain equality
 
 
@@ -63,11 +63,11 @@ def components(nodes: DataFrame) -> DataFrame:
 
 
 def _walk(rows: list[tuple]) -> Iterator[tuple]:
-    """Walks one or more whole components; rows: (scope, id, parent, mark, kind, label) in any order."""
+    """Walks one or more whole components; rows: (scope, id, parent, mark, kind, label, carry) in any order."""
     children: dict[str, list[str]] = {}
-    mark, starts, of = {}, [], {}
-    for scope, node, parent, own, kind, label in rows:
-        mark[node], of[node] = own, scope
+    mark, starts, of, carried = {}, [], {}, {}
+    for scope, node, parent, own, kind, label, carry in rows:
+        mark[node], of[node], carried[node] = own, scope, carry
         if label == node:
             starts.append((node, kind))
         if parent is not None and not (kind == "no_root" and label == node):
@@ -89,7 +89,7 @@ def _walk(rows: list[tuple]) -> Iterator[tuple]:
             path.append(path[-1] + mark[node])
             stack.append((node, True))
             if kind == "root":
-                yield of[node], node, "root" if node == start else "tree", start, len(line), path[-1], list(line), False
+                yield of[node], node, "root" if node == start else "tree", start, len(line), path[-1], list(line), False, carried[node]
             else:
                 found.append(node)
             for child in children.get(node, ()):
@@ -103,13 +103,13 @@ def _walk(rows: list[tuple]) -> Iterator[tuple]:
         for node in found:
             if node is not None:
                 status = "no_root" if kind == "no_root" else "cycle" if node in on_loop else "below_cycle"
-                yield of[node], node, status, None, None, None, None, node == closing
+                yield of[node], node, status, None, None, None, None, node == closing, carried[node]
 
 
 def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Components arrive one after the other; only the last one may go on in the next batch."""
     held: list[tuple] = []
-    cols = ["scope", "id", "parent", "mark", "kind", "label"]
+    cols = ["scope", "id", "parent", "mark", "kind", "label", "carry"]
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def out(rows: list[tuple]) -> pd.DataFrame:
@@ -138,19 +138,19 @@ def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _by_doubling(big: DataFrame) -> DataFrame:
     """The same results for components too large for one task: lines of ancestors grow by doubling, the rest follows from kind and ptr."""
-    tree = big.filter("kind = 'root'").select("scope", "id", F.when(F.col("parent").isNotNull(), F.col("parent")).alias("ptr"), F.array("id").alias("line"), F.array("mark").alias("marks"))
+    tree = big.filter("kind = 'root'").select("scope", "id", F.when(F.col("parent").isNotNull(), F.col("parent")).alias("ptr"), F.array("id").alias("line"), F.array("mark").alias("marks"), "carry")
     while not tree.filter("ptr is not null").isEmpty():
         to = tree.select(F.col("scope").alias("_s"), F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("line").alias("_l"), F.col("marks").alias("_m"))
         tree = materialize(
             tree.join(to, (F.col("scope") == F.col("_s")) & (F.col("ptr") == F.col("_i")), "left").select(
                 "scope", "id", F.col("_p").alias("ptr"),
                 F.when(F.col("_l").isNull(), F.col("line")).otherwise(F.concat("_l", "line")).alias("line"),
-                F.when(F.col("_m").isNull(), F.col("marks")).otherwise(F.concat("_m", "marks")).alias("marks"),
+                F.when(F.col("_m").isNull(), F.col("marks")).otherwise(F.concat("_m", "marks")).alias("marks"), "carry",
             )
         )
     whole = tree.select(
         "scope", "id", F.when(F.size("line") == 1, "root").otherwise("tree").alias("status"), F.col("line")[0].alias("root"), F.size("line").alias("depth"),
-        F.array_join("marks", "").alias("path"), F.col("line").alias("ancestors"), F.lit(False).alias("back_edge"),
+        F.array_join("marks", "").alias("path"), F.col("line").alias("ancestors"), F.lit(False).alias("back_edge"), "carry",
     )
     none = lambda kind: F.lit(None).cast(kind)
     on = big.filter("kind = 'loop'").select(F.col("scope").alias("_s"), F.col("ptr").alias("_i")).distinct()
@@ -158,7 +158,7 @@ def _by_doubling(big: DataFrame) -> DataFrame:
     status = F.when(F.col("kind") == "no_root", "no_root").when(F.col("_i").isNotNull(), "cycle").otherwise("below_cycle")
     lost = rest.select(
         "scope", "id", status.alias("status"), none("string").alias("root"), none("int").alias("depth"), none("string").alias("path"), none("array<string>").alias("ancestors"),
-        (F.col("_i").isNotNull() & (F.col("id") == F.col("label"))).alias("back_edge"),
+        (F.col("_i").isNotNull() & (F.col("id") == F.col("label"))).alias("back_edge"), "carry",
     )
     return whole.unionByName(lost)
 
@@ -168,7 +168,7 @@ def hierarchy(nodes: DataFrame, largest: int = 200_000) -> DataFrame:
     parent = F.when(F.trim(F.col("parent")) != "", F.col("parent"))
     nodes = materialize(
         nodes.filter(F.col("id").isNotNull())
-        .select(F.coalesce("scope", F.lit(NO_SCOPE)).alias("scope"), "id", parent.alias("parent"), F.coalesce("mark", F.lit("")).alias("mark"))
+        .select(F.coalesce("scope", F.lit(NO_SCOPE)).alias("scope"), "id", parent.alias("parent"), F.coalesce("mark", F.lit("")).alias("mark"), (F.col("carry") if "carry" in nodes.columns else F.lit(None)).cast("string").alias("carry"))
     )
     ends = components(nodes)
     full = nodes.join(ends.select("scope", "id", "ptr", "kind", "label"), ["scope", "id"])
@@ -180,7 +180,7 @@ def hierarchy(nodes: DataFrame, largest: int = 200_000) -> DataFrame:
         big, small = materialize(full.join(sizes, on, "left_semi")), full.join(sizes, on, "left_anti")
     else:
         small = full
-    placed = small.select("scope", "id", "parent", "mark", "kind", "label").repartition("scope", "label").sortWithinPartitions("scope", "label")
+    placed = small.select("scope", "id", "parent", "mark", "kind", "label", "carry").repartition("scope", "label").sortWithinPartitions("scope", "label")
     done = placed.mapInPandas(_walk_all, OUT)
     if big_ones:
         done = done.unionByName(_by_doubling(big))

@@ -20,17 +20,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(chunks: DataFrame) -> DataFrame:
-    return H.hierarchy(chunks.select(F.col("corpus_version").alias("scope"), F.col("chunk_id").alias("id"), F.col("parent_id").alias("parent"), own_mark(F.col("node_path")).alias("mark")))
+    return H.hierarchy(chunks.select(F.col("corpus_version").alias("scope"), F.col("chunk_id").alias("id"), F.col("parent_id").alias("parent"), own_mark(F.col("node_path")).alias("mark"), F.col("node_path").alias("carry")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks on or below a loop, without a root, or whose place in the tree is not that of their node path."""
-    chunks = _chunks(spark, d)
-    tree = _tree(chunks)
-    told = chunks.select(F.col("corpus_version").alias("_v"), F.col("chunk_id").alias("_c"), "node_path")
-    joined = tree.join(told, F.col("scope").eqNullSafe(F.col("_v")) & (F.col("id") == F.col("_c")))
-    issue = F.when(F.col("status").isin("cycle", "below_cycle", "no_root"), F.col("status")).when(~F.col("path").eqNullSafe(F.coalesce("node_path", F.lit(""))), "moved")
-    return joined.select(F.col("id").alias("chunk_id"), issue.alias("issue")).filter("issue is not null")
+    tree = _tree(_chunks(spark, d))
+    issue = F.when(F.col("status").isin("cycle", "below_cycle", "no_root"), F.col("status")).when(~F.col("path").eqNullSafe(F.coalesce("carry", F.lit(""))), "moved")
+    return tree.select(F.col("id").alias("chunk_id"), issue.alias("issue")).filter("issue is not null")
 
 
 def p5_tree(spark: SparkSession, d: str) -> DataFrame:
