@@ -79,11 +79,11 @@ def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The three nearest-rank rules: floor(q n), round(q (n - 1)) to even, ceil(q n) - 1, at 0.5, 0.9, 0.95 and 0.99, over distinct counts of each value."""
     order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    running = counted.select(*by, value, F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    running = counted.select(*by, value, F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy(*by)).alias("_n"))
     rules = []
     for q in (0.5, 0.9, 0.95, 0.99):
         name = f"{round(q * 100)}"
-        place = {"floor": F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1), "even": F.bround(F.lit(q) * (F.col("n") - 1), 0), "ceil": F.ceil(F.lit(q) * F.col("n")) - 1}
+        place = {"floor": F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1), "even": F.bround(F.lit(q) * (F.col("_n") - 1), 0), "ceil": F.ceil(F.lit(q) * F.col("_n")) - 1}
         rules += [F.min(F.when(F.col("upto") > p, F.col(value))).alias(f"{k}_{name}") for k, p in place.items()]
     return running.groupBy(*by).agg(*rules)
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -126,29 +126,32 @@ def rm3(items: DataFrame, queries: DataFrame, docs: int = 10, words: int = 10, o
     return own.unionByName(model).groupBy("query_id", "word").agg(F.sum("weight").alias("weight"))
 
 
-def unit(vector: Column) -> Column:
-    """A vector divided by its norm, in doubles; null for vectors without direction or with a number that is not finite."""
-    v = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm.isNotNull() & (norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.transform(v, lambda x: x / norm))
+def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the usable vectors and their unit vectors, in doubles."""
+    whole = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
+    x = np.array([vectors[i] for i in whole], dtype=np.float64).reshape(-1, dim)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return np.array(whole, int)[good], x[good] / norm[good, None]
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
-    """items(item_id, tie, vector), queries(query_id, vector) -> exact ranking by cosine. Vectors without direction or of another length take no part."""
+    """items(item_id, tie, vector), queries(query_id, vector) -> exact ranking by cosine. Vectors without direction, with numbers that are not finite or of another length take no part."""
     spark = items.sparkSession
-    good = F.col("v").isNotNull() & (F.size("v") == dim)
-    rows = queries.select("query_id", unit(F.col("vector")).alias("v")).filter(good).orderBy("query_id").collect()  # the stated query set
-    usable = items.select("item_id", "tie", unit(F.col("vector")).alias("v")).filter(good)
+    asked = queries.select("query_id", "vector").filter(F.size("vector") == dim).orderBy("query_id").collect()  # the stated query set
+    rows, q_all = units([r[1] for r in asked], dim)
     scored = spark.createDataFrame([], RANKED)
-    for block in _blocks(rows):
-        names, q = [r[0] for r in block], np.array([r[1] for r in block])
+    for block in _blocks(list(zip(rows.tolist(), range(len(rows))))):
+        names, q = [asked[i][0] for i, _ in block], q_all[[j for _, j in block]]
 
         def score(batches: Iterator[pd.DataFrame], names: list = names, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                x, out = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, dim)), []
+                keep, x = units(pdf["vector"].tolist(), dim)
+                part, out = pdf.iloc[keep], []
                 for a in range(0, len(names), 512):
-                    out += _best(q[a : a + 512] @ x.T, names[a : a + 512], pdf["item_id"].to_numpy(), pdf["tie"].to_numpy(), k, -np.inf)
+                    out += _best(q[a : a + 512] @ x.T, names[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, -np.inf)
                 yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
-        scored = scored.unionByName(usable.mapInPandas(score, RANKED))
+        scored = scored.unionByName(items.select("item_id", "tie", "vector").filter(F.size("vector") == dim).mapInPandas(score, RANKED))
     return rank(scored, k)

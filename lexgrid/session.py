@@ -46,3 +46,9 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals few input splits out to all cores, for work that costs far more than moving its input. Many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
