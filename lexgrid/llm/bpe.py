@@ -22,6 +22,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Fixed value: the pre-token pattern that byte_bpe_50k was built with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters at the end of the buffer that may still change the pre-token before them.
@@ -182,7 +184,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
         for pdf in batches:
             yield pd.DataFrame({key: pdf.iloc[:, 0], "ids": [pairs.encode(t if isinstance(t, str) else None) for t in pdf.iloc[:, 1]]})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def count_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -194,7 +196,7 @@ def count_column(df: DataFrame, key: str, text: str, path: str | None = None) ->
         for pdf in batches:
             yield pd.DataFrame({key: pdf.iloc[:, 0], "tokens": [len(pairs.encode(t if isinstance(t, str) else None)) for t in pdf.iloc[:, 1]]})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens bigint")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens bigint")
 
 
 def decode_column(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:

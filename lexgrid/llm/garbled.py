@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 #: A word: one sign of a script without spaces, a run of other letters, or one other non-ASCII sign. For Java and for Python.
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -326,12 +326,6 @@ def frequent(counts: DataFrame, least: float) -> dict[str, float]:
     return {r[0]: math.log(r[1] / total) for r in counts.filter(F.col("n") >= total * least).collect()}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals few input splits out to all cores: decoding costs far more than moving its input. Many splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
-
-
 def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> DataFrame:
     """(key, spans ARRAY<STRUCT<start_char, end_char, channel, restored>>, restored): one row per garbled text.
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[IDENTITY_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -370,7 +370,7 @@ def find(texts: DataFrame, lexicon: DataFrame, key: list[str]) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(spans=[candidates(t if isinstance(t, str) else None, names) for t in pdf["text"]])
 
-    proposed = materialize(texts.select(*key, "text").mapInPandas(propose, f"{head}, spans array<struct<kind string, start_char bigint, end_char bigint, votes string>>"))
+    proposed = materialize(spread(texts.select(*key, "text")).mapInPandas(propose, f"{head}, spans array<struct<kind string, start_char bigint, end_char bigint, votes string>>"))
     counted = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
     model = train({(r["kind"], r["votes"]): r["count"] for r in counted})
 
