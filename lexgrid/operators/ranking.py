@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread
 
 QUERY_BLOCK = 20_000
 #: The parameters of BM25.
@@ -103,7 +104,7 @@ def _bm25_block(tokens: DataFrame, rows: list, n: int, average: float, df: dict[
                     out += _best(block @ tf.T, queries[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, 0.0)
             yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
-    return tokens.mapInPandas(score, RANKED)
+    return spread(tokens).mapInPandas(score, RANKED)
 
 
 def word_weights(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
@@ -153,5 +154,5 @@ def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> Dat
                     out += _best(q[a : a + 512] @ x.T, names[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, -np.inf)
                 yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
-        scored = scored.unionByName(items.select("item_id", "tie", "vector").filter(F.size("vector") == dim).mapInPandas(score, RANKED))
+        scored = scored.unionByName(spread(items.select("item_id", "tie", "vector").filter(F.size("vector") == dim)).mapInPandas(score, RANKED))
     return rank(scored, k)

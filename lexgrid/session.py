@@ -49,6 +49,9 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals few input splits out to all cores, for work that costs far more than moving its input. Many splits stay as they are."""
+    """Deals rows out to all cores, for work that costs far more than moving its input. A scan of many splits stays as it is;
+    behind a shuffle the sizes of partitions follow their bytes, not the work on them, so the rows are dealt out anew."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
+    plan = df._jdf.queryExecution().executedPlan()
+    shuffled = plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec"
+    return df.repartition(3 * cores) if shuffled or plan.outputPartitioning().numPartitions() < 2 * cores else df
