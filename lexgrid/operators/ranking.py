@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import spread
+from ..session import materialize, spread
 
 QUERY_BLOCK = 20_000
 #: The parameters of BM25.
@@ -114,7 +114,7 @@ def word_weights(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
 
 def rm3(items: DataFrame, queries: DataFrame, docs: int = 10, words: int = 10, original: float = 0.5) -> DataFrame:
     """Query expansion by a relevance model: (query_id, word, weight) of the best words of the best items, mixed with the query's own."""
-    first = bm25(items, word_weights(queries), docs)
+    first = materialize(bm25(items, word_weights(queries), docs))
     share = F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))
     top = first.select("query_id", "item_id", share.alias("share")).join(items.select("item_id", "text"), "item_id")
     tokens = T.tokens(F.col("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -88,11 +88,13 @@ def page_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """For each document the corpus version that was the latest when it was published."""
-    docs = table(spark, d, "documents", "doc_id", "published_at").filter("published_at is not null").withColumn("all", F.lit(1))
-    versions = table(spark, d, "corpus_versions", "corpus_version", "ingested_at").distinct().withColumn("all", F.lit(1))
-    # one key for all: both tables are sorted once; the versions are few
-    return J.as_of(docs, versions, ["all"], "published_at", "ingested_at").select("doc_id", "corpus_version")
+    """For each document the corpus version that was the latest when it was published: versions as intervals, joined by months."""
+    docs = table(spark, d, "documents", "doc_id", "published_at").filter("published_at is not null").withColumn("at", F.unix_micros("published_at"))
+    versions = table(spark, d, "corpus_versions", "corpus_version", "ingested_at").distinct().withColumn("low", F.unix_micros("ingested_at"))
+    until = F.coalesce(F.lead("low").over(Window.orderBy("low")) - 1, F.lit(4102444800000000))  # one row a version: a small table
+    spans = versions.withColumn("high", until).withColumn("all", F.lit(1))
+    held = J.within(docs.withColumn("all", F.lit(1)), spans, ["all"], "at", "low", "high", 30 * 86400 * 1e6).select("doc_id", "corpus_version")
+    return docs.select("doc_id").join(held, "doc_id", "left")
 
 
 def band_amounts(spark: SparkSession, d: str) -> DataFrame:

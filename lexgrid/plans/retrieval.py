@@ -65,12 +65,6 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_bm25(spark, d))
 
 
-def bm25_rm3(spark: SparkSession, d: str) -> DataFrame:
-    items = materialize(_items(spark, d))
-    asked = questions(spark, d).select("query_id", F.col("question").alias("text"))
-    return _shown(R.bm25(items, R.rm3(items, asked), 10))
-
-
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_knn(spark, d))
 
@@ -204,4 +198,4 @@ SQL = {
         SELECT corpus_version, count(*) AS vectors, count(*) FILTER (whole AND l = 64 AND s > 0 AND isfinite(s)) AS usable, count(*) FILTER (whole AND l = 64 AND abs(s - 1) <= 1e-4) AS of_unit_length FROM m GROUP BY 1""",
     "intrusions": f"WITH {_BM}, {_KN}, {_PATHS}, {_GOLD}, {_WAYS} SELECT item_id, count(*) AS queries FROM bm JOIN paths USING (item_id) WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM ways w WHERE w.query_id = bm.query_id AND w.path = paths.path) GROUP BY 1 HAVING count(*) >= 8",
 }
-QUERIES = {q.__name__: q for q in (bm25_idf, bm25_topk, bm25_rm3, knn_exact, rrf_fuse, rerank_head, fallback_leg, interleaved, shortcut, retrieval_metrics, metrics_by_slice, metrics_at_k, run_agreement, vector_guard, intrusions, adoption)}
+QUERIES = {q.__name__: q for q in (bm25_idf, bm25_topk, knn_exact, rrf_fuse, rerank_head, fallback_leg, interleaved, shortcut, retrieval_metrics, metrics_by_slice, metrics_at_k, run_agreement, vector_guard, intrusions, adoption)}
