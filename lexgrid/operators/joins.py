@@ -67,6 +67,19 @@ def within(points: DataFrame, ranges: DataFrame, key: list[str], at: str, low: s
     return points.withColumn("_b", floor(at)).join(spread, [*key, "_b"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_b")
 
 
+def count_within(points: DataFrame, ranges: DataFrame, key: list[str], at: str, low: str, high: str) -> DataFrame:
+    """The ranges (bounds included, whole numbers) with the number `holds` of points of the same key that they hold, without making the pairs:
+    points up to the upper bound less points below the lower one, by running sums over the distinct places of a key."""
+    ranges = ranges.filter(F.col(low) <= F.col(high)).withColumns({"_below": F.col(low).cast("bigint") - 1, "_high": F.col(high).cast("bigint")})
+    n = points.groupBy(*key, F.col(at).cast("bigint").alias("_at")).agg(F.count("*").alias("_n"))
+    bounds = [ranges.select(*key, F.col(c).alias("_at")).distinct().withColumn("_n", F.lit(0).cast("bigint")) for c in ("_below", "_high")]
+    places = n.unionByName(bounds[0]).unionByName(bounds[1]).groupBy(*key, "_at").agg(F.sum("_n").alias("_n"))
+    upto = places.withColumn("_n", F.sum("_n").over(Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    side = lambda c: upto.select(*key, F.col("_at").alias(c), F.col("_n").alias(f"_n{c}"))
+    both = ranges.join(side("_high"), [*key, "_high"]).join(side("_below"), [*key, "_below"])
+    return both.withColumn("holds", F.col("_n_high") - F.col("_n_below")).drop("_below", "_high", "_n_below", "_n_high")
+
+
 def as_of(events: DataFrame, states: DataFrame, key: list[str], at: str, since: str) -> DataFrame:
     """Each event with the last state of its key at or before it, by one sort of both together; states' columns are null before the first."""
     values = [c for c in states.columns if c not in key]
