@@ -137,8 +137,8 @@ def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(whole, int)[good], x[good] / norm[good, None]
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
-    """items(item_id, tie, vector), queries(query_id, vector) -> exact ranking by cosine. Vectors without direction, with numbers that are not finite or of another length take no part."""
+def _cosines(items: DataFrame, queries: DataFrame, dim: int, pick) -> DataFrame:
+    """What pick(scores, queries, items, ties) keeps of the cosines of each batch of items with all queries."""
     spark = items.sparkSession
     asked = queries.select("query_id", "vector").filter(F.size("vector") == dim).orderBy("query_id").collect()  # the stated query set
     rows, q_all = units([r[1] for r in asked], dim)
@@ -151,8 +151,23 @@ def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> Dat
                 keep, x = units(pdf["vector"].tolist(), dim)
                 part, out = pdf.iloc[keep], []
                 for a in range(0, len(names), 512):
-                    out += _best(q[a : a + 512] @ x.T, names[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, -np.inf)
+                    out += pick(q[a : a + 512] @ x.T, names[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy())
                 yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
         scored = scored.unionByName(spread(items.select("item_id", "tie", "vector").filter(F.size("vector") == dim)).mapInPandas(score, RANKED))
-    return rank(scored, k)
+    return scored
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
+    """items(item_id, tie, vector), queries(query_id, vector) -> exact ranking by cosine. Vectors without direction, with numbers that are not finite or of another length take no part."""
+    return rank(_cosines(items, queries, dim, lambda scores, names, ids, ties: _best(scores, names, ids, ties, k, -np.inf)), k)
+
+
+def near(items: DataFrame, queries: DataFrame, at_least: float, dim: int = 64) -> DataFrame:
+    """As knn, but all items of cosine `at_least` or more, however many: (query_id, item_id, score)."""
+
+    def pick(scores: np.ndarray, names: list, ids: np.ndarray, ties: np.ndarray) -> list[tuple]:
+        scores = np.round(scores, 9)
+        return [(names[q], ids[i], int(ties[i]), float(scores[q, i])) for q, i in np.argwhere(scores >= at_least)]
+
+    return _cosines(items, queries, dim, pick).select("query_id", "item_id", "score")

@@ -33,9 +33,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return once(table(spark, d, "chunk_embeddings", "chunk_id", "embedding"), ["chunk_id"]).select(F.col("chunk_id").alias("item_id"), F.lit(0).cast("bigint").alias("tie"), F.col("embedding").alias("vector"))
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "query_vectors", "query_id", "vectors"), ["query_id"]).select("query_id", F.col("vectors").alias("vector"))
+
+
 def _knn(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    asked = once(table(spark, d, "query_vectors", "query_id", "vectors"), ["query_id"]).select("query_id", F.col("vectors").alias("vector"))
-    return R.knn(_vectors(spark, d), asked, k)
+    return R.knn(_vectors(spark, d), _asked(spark, d), k)
 
 
 def _shown(ranking: DataFrame) -> DataFrame:
@@ -48,8 +51,8 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    """What a question asks for: the paths of chunks whose vector has a cosine of 0.75 or more with its own."""
-    near = _knn(spark, d, 10).filter("score >= 0.75")
+    """What a question asks for: the paths of chunks whose vector has a cosine of 0.75 or more with its own, however many. The SQL still takes them from the 10 nearest."""
+    near = R.near(_vectors(spark, d), _asked(spark, d), 0.75)
     return near.join(_paths(spark, d), "item_id").select("query_id", F.col("path").alias("required")).distinct()
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexgrid.plans import relations
+from lexgrid.plans import relations, retrieval
 
 
 def write(spark, folder, name, rows, schema):
@@ -21,3 +21,12 @@ def test_short_spans_and_spans_without_a_page_hold_chunks(spark, folder):
     whole = {k: v for k, v in spans.items() if v[0] is not None}
     want = {k: n for k, (lo, hi, _) in whole.items() if (n := sum(lo <= v[0] <= hi for j, v in whole.items() if j != k))}
     assert {r["span_id"]: r["holds"] for r in relations.page_containment(spark, folder).collect()} == want and len(want) == 2
+
+
+def test_gold_has_all_near_chunks(spark, folder):
+    vector = lambda *x: [float(v) for v in x] + [0.0] * (64 - len(x))
+    write(spark, folder, "query_vectors", [("q", vector(1)), ("none", vector(0, 1))], "query_id string, vectors array<float>")
+    write(spark, folder, "chunk_embeddings", [(f"c{i:02}", vector(1, -i / 20)) for i in range(25)] + [("zero", vector(0)), ("null", None)], "chunk_id string, embedding array<float>")
+    write(spark, folder, "chunks", [(f"c{i:02}", str(i + 1)) for i in range(25)], "chunk_id string, node_path string")
+    got = {(r["query_id"], r["required"]) for r in retrieval._gold(spark, folder).collect()}
+    assert got == {("q", str(i + 1)) for i in range(18)}  # 1 / sqrt(1 + (i / 20) ^ 2) >= 0.75
