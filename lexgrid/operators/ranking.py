@@ -171,3 +171,13 @@ def near(items: DataFrame, queries: DataFrame, at_least: float, dim: int = 64) -
         return [(names[q], ids[i], int(ties[i]), float(scores[q, i])) for q, i in np.argwhere(scores >= at_least)]
 
     return _cosines(items, queries, dim, pick).select("query_id", "item_id", "score")
+
+def pair_cosines(pairs: DataFrame, items: DataFrame, queries: DataFrame, dim: int = 64) -> DataFrame:
+    """pairs(query_id, item_id) -> (query_id, item_id, score) of the pairs whose vectors both are usable: the cosine, to 9 digits."""
+    x, y = F.col("_x").cast("array<double>"), F.col("_y").cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    own = lambda df, key, name: df.filter(F.size("vector") == dim).select(key, F.col("vector").alias(name))
+    both = pairs.select("query_id", "item_id").join(own(items, "item_id", "_x"), "item_id").join(own(queries, "query_id", "_y"), "query_id")
+    each = both.select("query_id", "item_id", F.sqrt(dot(x, x)).alias("_a"), F.sqrt(dot(y, y)).alias("_b"), dot(x, y).alias("_d"))
+    usable = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
+    return each.filter(usable("_a") & usable("_b")).select("query_id", "item_id", F.round(F.col("_d") / F.col("_a") / F.col("_b"), 9).alias("score"))

@@ -77,9 +77,10 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_head(spark: SparkSession, d: str) -> DataFrame:
-    """The lexical ranking with its first 20 re-sorted by cosine."""
-    new = _knn(spark, d, 100).select("query_id", "item_id", F.col("score").alias("new_score"))
-    return U.rerank(_bm25(spark, d, 40), new)
+    """The lexical ranking with its first 20 re-sorted by cosine, each pair's own. The SQL still knows only the cosines of the 100 nearest."""
+    lexical = materialize(_bm25(spark, d, 40))
+    new = R.pair_cosines(lexical.filter("rank <= 20"), _vectors(spark, d), _asked(spark, d))
+    return U.rerank(lexical, new.withColumnRenamed("score", "new_score"))
 
 
 def fallback_leg(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,15 @@ def test_gold_has_all_near_chunks(spark, folder):
     write(spark, folder, "chunks", [(f"c{i:02}", str(i + 1)) for i in range(25)], "chunk_id string, node_path string")
     got = {(r["query_id"], r["required"]) for r in retrieval._gold(spark, folder).collect()}
     assert got == {("q", str(i + 1)) for i in range(18)}  # 1 / sqrt(1 + (i / 20) ^ 2) >= 0.75
+
+
+def test_rerank_scores_every_head_item(spark, folder):
+    vector = lambda *x: [float(v) for v in x] + [0.0] * (64 - len(x))
+    chunks = [("a", 1, "levy levy", vector(0.1, 1)), ("b", 2, "levy levy", vector(0.2, 1)), ("c", 3, "levy levy", None)]
+    chunks += [(f"n{i:03}", 10 + i, "other", vector(1, i / 1000)) for i in range(120)]
+    write(spark, folder, "query_vectors", [("q", "s", "levy", vector(1))], "query_id string, slice string, question string, vectors array<float>")
+    write(spark, folder, "chunk_embeddings", [(k, v) for k, _, _, v in chunks], "chunk_id string, embedding array<float>")
+    columns = "chunk_id string, ordinal int, chapter_numeral string, chapter_title string, node_path string, root_title string, text string, removed_at timestamp"
+    write(spark, folder, "chunks", [(k, n, None, None, "1", "t", text, None) for k, n, text, _ in chunks], columns)
+    got = [r["item_id"] for r in retrieval.rerank_head(spark, folder).orderBy("rank").collect()]
+    assert got == ["b", "a", "c"]  # none is among the question's 100 nearest
