@@ -2,8 +2,9 @@
 
 A forest of random-projection trees: in each tree all nodes of a level share one random direction and split at the median
 that a bounded sample has there. Every vector goes to its leaf in each tree; the branches not taken, of all trees together,
-wait in one priority queue by how narrowly they were missed, and the nearest `probes` of them are descended too. Vectors
-that share a leaf are candidates, compared in blocks over 4-bit codes; the candidates are then reranked with exact cosines.
+wait in one priority queue by how narrowly they were missed, and the nearest `probes` of them are descended too, more of them the
+deeper the trees are. Vectors that share a leaf are candidates, compared in blocks over 4-bit codes; the candidates are then reranked with
+exact cosines. Where codes can't choose, because a row has more similar rows in a leaf than are kept, it is compared with every chunk vector exactly.
 
 Only codes (half a byte a dimension) travel to the leaves; exact vectors are read again for candidates alone. Thresholds take
 4 bytes a node and at most 2^20 nodes a tree, and are fitted on `sample` vectors at most (the index holds every vector).
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ MAX_DEPTH = 20
 BROADCAST_ROWS = 1_000_000
 #: 4-bit codes change a cosine by less than this (checked in the tests); candidates are kept so far below the threshold.
 SLACK = 0.09
+#: Trees of more than FLAT levels have MORE further probes for each level beyond, since each split parts some neighbours.
+FLAT, MORE = 7, 4
+#: Crowded rows that are compared with all chunks in one pass.
+CROWD = 16_384
 
 
 class Forest:
@@ -170,7 +176,8 @@ def _unhalve(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float, keep: int, dim: int) -> DataFrame:
-    """(a, b): ids of representatives that share a leaf and whose codes are similar; of each row's in a leaf the best `keep`. a is the question if there is one."""
+    """(a, b): ids of representatives that share a leaf and whose codes are similar; of each row's in a leaf the best `keep`. a is the question if there is one.
+    A row a that lost some has a row (a, null)."""
     width = (dim + 1) // 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +189,8 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
             again = np.repeat(np.arange(b.num_rows), leaves.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), b.column(0).take(pa.array(again)), _binary(_halve(x)[again])], names=["leaf", "id", "code"])
 
-    def within(question: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query row, chunk row) of one leaf; of two chunks once."""
+    def within(question: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query row, chunk row) of one leaf, of two chunks once; the rows that lost some."""
         chunks, questions = np.flatnonzero(~question), np.flatnonzero(question)
         c = x[chunks]
         left, right, score = [], [], []
@@ -199,6 +206,7 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
                 right.append(chunks[(s if triangle else 0) + j])
                 score.append(sims.ravel()[hit])
         left, right, score = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right, score))
+        crowded = left[:0]
         if len(left) and np.bincount(np.concatenate((left, right))).max() > keep:
             best = np.zeros(len(left), bool)
             for side in (left, right):
@@ -206,8 +214,10 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
                 first = np.flatnonzero(np.diff(side[order], prepend=-1))
                 rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
                 best[order[rank < keep]] = True
+            lost = ~best
+            crowded = np.unique(np.concatenate((left[lost], right[lost & ~question[left]])))
             left, right = left[best], right[best]
-        return left, right
+        return left, right, crowded
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -218,13 +228,15 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
                 return
             question, x = (ids & 1) == 1, _unhalve(table.column(2), width)
             edge = np.append(np.flatnonzero(np.diff(leaf, prepend=-1)), len(leaf))
-            found = [(a + i, a + j) for a, b in zip(edge, edge[1:]) for i, j in [within(question[a:b], x[a:b])] if len(i)]
+            found = [(a + i, a + j, a + c) for a, b in zip(edge, edge[1:]) for i, j, c in [within(question[a:b], x[a:b])] if len(i)]
             if found:
-                i, j = (ids[np.concatenate(v)] for v in zip(*found))
+                i, j, crowded = (ids[np.concatenate(v)] for v in zip(*found))
                 swap = ((i & 1) == 0) & (i > j)
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 pairs = np.unique(np.stack((i, j), 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                if len(crowded := np.unique(crowded)):
+                    yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -243,6 +255,40 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
     return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _crowded_pairs(raw: DataFrame, crowded: DataFrame, at_least: float, k: int, dim: int) -> list[DataFrame]:
+    """(a, b) as of _candidates: the k nearest chunks of the crowded rows(a), and those as near but for rounding, among all chunks by exact vectors.
+    Each pass takes some CROWD rows past all chunks."""
+    count = crowded.count()
+    if not count:
+        return []
+    whole = raw.filter(F.size("vector") == dim)
+    one = lambda df: df.groupBy("id").agg(F.first("vector").alias("vector"))
+    asked = materialize(one(whole.join(_small(crowded.withColumnRenamed("a", "id"), count), "id", "left_semi")))
+    chunks = materialize(one(whole.filter("kind = 'c'")))
+    passes, out = -(-count // CROWD), []
+    for n in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).toArrow()
+        rows, q = _matrix(part.column("vector").combine_chunks(), dim)
+        sent = raw.sparkSession.sparkContext.broadcast((part.column("id").to_numpy()[rows], q.astype(np.float32)))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for b in batches:
+                rows, x = _matrix(b.column(1), dim)
+                ids, x = b.column(0).to_numpy()[rows], x.astype(np.float32)
+                for s in range(0, len(names) if len(ids) else 0, 512):
+                    sims = q[s : s + 512] @ x.T
+                    sims[names[s : s + 512, None] == ids] = -1
+                    least = np.partition(sims, -k, axis=1)[:, -k, None] if len(ids) > k else -1
+                    i, j = np.nonzero(sims >= np.maximum(least, at_least) - 1e-5)
+                    a, b_ = names[s + i], ids[j]
+                    swap = ((a & 1) == 0) & (a > b_)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b_, a)), pa.array(np.where(swap, a, b_))], names=["a", "b"])
+
+        out.append(chunks.select("id", "vector").mapInArrow(score, "a bigint, b bigint"))
+    return out
+
+
 def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -271,7 +317,11 @@ def nearest(
         _coded(raw, dim).groupBy("kind", "h1", "h2").agg(F.min(F.struct("key", "id", "code")).alias("r"), F.max("key").alias("last"))
         .select("kind", "h1", "h2", "r.id", "r.key", "r.code", (F.col("r.key") != F.col("last")).alias("many"))
     )
-    pairs = materialize(_candidates(classes, forest, probes, at_least, 4 * (k + 1), dim))
+    candidates = materialize(_candidates(classes, forest, probes + MORE * max(0, depth - FLAT), at_least, 4 * (k + 1), dim))
+    pairs = candidates.filter("b is not null")
+    exactly = _crowded_pairs(raw, candidates.filter("b is null").select("a"), at_least, k + 1, dim)
+    if exactly:
+        pairs = materialize(reduce(DataFrame.unionByName, exactly, pairs).distinct())
 
     # exact vectors of the candidates alone
     used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
