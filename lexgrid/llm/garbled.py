@@ -6,8 +6,9 @@ were lost (U+FFFD) are wildcards in the byte lattice, filled by the corpus. A Vi
 text chooses between leaving them as they are and decoding them by a channel; a reading's score is the probability of
 its words under the word frequencies of the whole corpus, and changing the channel has a price.
 
-Frequencies are counted over all texts. The model that goes to the tasks holds the words of relative frequency
-`least` and more, hence 1 / least words at most at any corpus size (half a million by default).
+Frequencies are counted over all texts. The model that goes to the tasks holds every word of the corpus: what is known does not
+depend on the corpus size. A text is no witness for itself: of its own words one occurrence is not counted, so a word that stands
+there alone is unknown as it stands and known as a reading. `least` is the probability that all unknown words have together.
 
 Defined results: null, empty and ASCII texts are never garbled; U+FFFD and C1 controls (but NEL) are always garbled, restored or
 not; white space stays as it is; escapes of correct text (entities, \\u00e9) are ASCII and left alone; repeated texts are judged alike.
@@ -108,8 +109,10 @@ def _partly(text: str, read_as: str) -> str:
 class Model:
     """Log probabilities of words, and what lost signs may have been."""
 
-    def __init__(self, logp: dict[str, float], least: float):
-        self.logp, self.rare = logp, math.log(least) - 1
+    def __init__(self, counts: dict[str, int], least: float):
+        total = math.log(sum(counts.values()) or 1)
+        logp = {w: math.log(n) - total for w, n in counts.items()}
+        self.logp, self.rare, self.counts, self.total = logp, math.log(least) - 1, counts, total
         self.unseen: dict[str, float] = {}
         self.signs: dict[str, float] = {}
         self.by_outline: dict[str, tuple[float, str]] = {}
@@ -138,14 +141,23 @@ class Model:
             self.unseen[word] = known
         return known
 
-    def score(self, text: str) -> float:
+    def _known(self, word: str) -> float:
+        """A word of a reading: never less than if its letters alone were known."""
+        p = self.logp.get(word)
+        return self._spelled(word) if p is None else p if p > self.rare else max(p, self._spelled(word))
+
+    def _own(self, word: str) -> float:
+        """A word as it stands, without the text that it stands in."""
+        n = self.counts.get(word, 0) - 1
+        return self._spelled(word) if n < 1 else p if (p := math.log(n) - self.total) > self.rare else max(p, self._spelled(word))
+
+    def score(self, text: str, own: bool = False) -> float:
         """Log probability of the words of a stretch, each once."""
-        get, spelled = self.logp.get, self._spelled
-        return sum(p if (p := get(w)) is not None else spelled(w) for w in dict.fromkeys(WORD.findall(text)))
+        return sum(map(self._own if own else self._known, dict.fromkeys(WORD.findall(text))))
 
-    def rarest(self, text: str) -> float:
+    def rarest(self, text: str, own: bool = False) -> float:
         """Log probability of the rarest word of a stretch."""
-        return min((p if (p := self.logp.get(w)) is not None else self._spelled(w) for w in WORD.findall(text)), default=0.0)
+        return min(map(self._own if own else self._known, WORD.findall(text)), default=0.0)
 
     def _cut(self, text: str, read_as: str) -> str:
         """Fills in signs of three bytes whose last one was dropped without a trace, as the corpus has them most often."""
@@ -229,7 +241,7 @@ class Model:
         key = re.sub("[0-9]+", "0", stretch)
         if (known := self.cache.get(key)) is not None:
             return known
-        own, rarest = self.score(key), self.rarest(key)
+        own, rarest = self.score(key, True), self.rarest(key, True)
         out = [("", own, key)]  # a channel that changes nothing reads alike, for nothing
         for channel in CHANNELS:
             read = self.decode(key, channel)
@@ -320,10 +332,10 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     return texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(JAVA_WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def frequent(counts: DataFrame, least: float) -> dict[str, float]:
-    """Log probabilities of the words of relative frequency `least` and more: 1 / least of them at most."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    return {r[0]: math.log(r[1] / total) for r in counts.filter(F.col("n") >= total * least).collect()}
+def known(counts: DataFrame) -> dict[str, int]:
+    """The occurrences of every word."""
+    words = counts.filter("n > 0").toArrow()
+    return dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist()))
 
 
 def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> DataFrame:
@@ -336,7 +348,7 @@ def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> Data
     context = texts.sparkSession.sparkContext
     counts = materialize(word_counts(texts, column))
     kind = texts.schema[key].dataType.simpleString()
-    before = context.broadcast(frequent(counts, least))
+    before = context.broadcast(known(counts))
 
     def suspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(before.value, least)
@@ -351,7 +363,7 @@ def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> Data
     some = spread(texts.select(key, column).filter(F.col(column).rlike(r"[^\x00-\x7F]")))
     suspects = materialize(some.mapInPandas(suspect, f"k {kind}, t string, words array<string>"))
     taken = suspects.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("m"))
-    after = context.broadcast(frequent(counts.join(taken, "word", "left").select("word", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")), least))
+    after = context.broadcast(known(counts.join(taken, "word", "left").select("word", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(after.value, least)
