@@ -109,7 +109,7 @@ def _partly(text: str, read_as: str) -> str:
 class Model:
     """Log probabilities of words, and what lost signs may have been."""
 
-    def __init__(self, counts: dict[str, int], least: float):
+    def __init__(self, counts: dict[str, int], least: float, first: bool = False):
         total = math.log(sum(counts.values()) or 1)
         logp = {w: math.log(n) - total for w, n in counts.items()}
         self.logp, self.rare, self.counts, self.total = logp, math.log(least) - 1, counts, total
@@ -127,6 +127,8 @@ class Model:
             if outline != LOST and p > self.by_outline.get(outline, (-99.0, ""))[0]:
                 self.by_outline[outline] = (p, word)
         self.cache: dict[str, list[tuple[str, float, str]]] = {}
+        #: In the first round garbled words are still among the frequencies, so they may not outweigh what UTF-8 says.
+        self.first = first
 
     def _spelled(self, word: str) -> float:
         """A word the corpus hardly has: its letters one by one, and a price for mixing alphabets."""
@@ -236,6 +238,14 @@ class Model:
                     return None
         return None if CONTROLS.search(text) else text
 
+    def _undoubted(self, text: str, read: str, read_as: str) -> bool:
+        """Whether a stretch is UTF-8 from end to end, of signs that the corpus has."""
+        try:
+            (to_bytes(text, read_as) or b"\xff").decode()
+        except UnicodeDecodeError:
+            return False
+        return LOST not in text and all(c in self.signs for c in read if c > "\x7f")
+
     def readings(self, stretch: str) -> list[tuple[str, float, str]]:
         """(channel, score, reading) of a stretch; the first is the stretch as it is. Channels that read alike are all kept."""
         key = re.sub("[0-9]+", "0", stretch)
@@ -251,7 +261,9 @@ class Model:
                 s = self.score(read)
                 if channel.endswith("cut"):
                     s -= 4  # the sign is a guess
-                if self.rarest(read) <= rarest:
+                if self.first and channel in UNDOUBTED and self._undoubted(key, read, channel.split("|")[1]):
+                    s = max(s, own + SUSPECT + 1)  # the second round decides
+                elif self.rarest(read) <= rarest:
                     s = min(s, own)  # the rarest word has to gain too, else words only ran together
                 if not channel.startswith("utf_8") and any(w not in self.logp for w in WORD.findall(read) if not w.isascii()):
                     s = min(s, own + 3)  # words nobody else uses are weak evidence
@@ -326,6 +338,9 @@ class Model:
 SUSPECT = 4.0
 CHANNELS = [f"{t}|{r}|1" for r in READ_AS for t in WRITTEN_IN if t != r] + [f"utf_8|{r}|2" for r in TWICE] + ["utf_8|cp1252|3", "lost"] + [f"utf_8|{r}|cut" for r in TWICE]
 
+#: Channels whose readings are byte for byte UTF-8, which signs put together by chance hardly are.
+UNDOUBTED = {c for c in CHANNELS if c.startswith("utf_8|") and not c.endswith("cut") and c.split("|")[1] not in WIDE}
+
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(word, n) over all texts."""
@@ -351,7 +366,7 @@ def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> Data
     before = context.broadcast(known(counts))
 
     def suspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(before.value, least)
+        model = Model(before.value, least, first=True)
         for pdf in batches:
             rows = []
             for k, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
