@@ -16,9 +16,12 @@ import base64
 import codecs
 import functools
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,6 +32,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters at the end of the buffer that may still change the pre-token before them.
 GUARD = 4
 CACHE = 200_000
+#: Characters fed at a time.
+BLOCK = 512
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -64,6 +69,10 @@ class BytePairs:
         self.find = regex.compile(PATTERN)
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ranks))
+
     @functools.cached_property
     def lookahead(self) -> int:
         return sufficient_lookahead(self.ranks)
@@ -105,25 +114,24 @@ class BytePairs:
     def word(self, text: str) -> tuple[int, ...]:
         ids = self.cache.get(text)
         if ids is None:
-            ids = tuple(self.merge(text.encode("utf-8", "replace") if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()))
+            ids = tuple(self.merge(text.encode()))
             if len(text) <= 64:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 self.cache[text] = ids
         return ids
 
-    def encode(self, text: str | None, block: int = 1 << 16) -> list[int]:
-        """Ids of a whole text, fed block by block."""
-        if not text:
-            return []
-        if len(text) <= block:
-            out: list[int] = []
-            get, word = self.cache.get, self.word
-            for piece in self.find.findall(text):
-                out += get(piece) or word(piece)
-            return out
-        t = Transducer(self)
-        return [x for i in range(0, len(text), block) for x in t.feed(text[i : i + block])] + list(t.finish())
+    def stream(self, text: str | None, block: int = BLOCK) -> Iterator[list[int]]:
+        """Ids of a text, fed block by block: lists of ids as they are settled."""
+        if text:
+            t = Transducer(self)
+            for i in range(0, len(text), block):
+                yield t.feed(text[i : i + block])
+            yield t.finish()
+
+    def encode(self, text: str | None, block: int = BLOCK) -> list[int]:
+        """All ids of a text."""
+        return [i for ids in self.stream(text, block) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text pieces as soon as they are settled; bytes that are no UTF-8 become U+FFFD."""
@@ -136,32 +144,41 @@ class BytePairs:
 
 
 class Transducer:
-    """feed() returns the ids that are settled so far, finish() the rest."""
+    """feed() returns the ids that are settled so far, finish() the rest. `held` is all it keeps of the text."""
 
     def __init__(self, pairs: BytePairs):
-        self.pairs, self.held = pairs, ""
-
-    def feed(self, text: str) -> Iterator[int]:
-        return self._run(text, False)
-
-    def finish(self) -> Iterator[int]:
-        return self._run("", True)
-
-    def _run(self, text: str, final: bool) -> Iterator[int]:
-        self.held += text
-        held, done, limit = self.held, 0, len(self.held) - (0 if final else GUARD)
-        for m in self.pairs.find.finditer(held):
-            if m.end() > limit:
-                break
-            yield from self.pairs.word(m.group())
-            done = m.end()
-        self.held = held[done:]
-        if not final and len(self.held) > 2 * self.pairs.lookahead + GUARD:
-            yield from self._inside()
+        self.pairs, self.held, self.half = pairs, "", ""
+
+    def feed(self, text: str) -> list[int]:
+        text = self.half + text
+        self.half = text[-1:] if "\ud800" <= text[-1:] <= "\udbff" else ""  # its other half may be still to come
+        return self._run(text[: len(text) - len(self.half)], False)
+
+    def finish(self) -> list[int]:
+        text, self.half = self.half, ""
+        return self._run(text, True)
+
+    def _run(self, text: str, final: bool) -> list[int]:
+        try:
+            text.encode()
+        except UnicodeEncodeError:  # unpaired surrogates
+            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        pieces, open_, waiting = self.pairs.find.findall(self.held + text), [], 0  # the pattern leaves out no sign
+        while pieces and not final and waiting < GUARD:
+            open_.append(pieces.pop())
+            waiting += len(open_[-1])
+        self.held = "".join(reversed(open_))
+        out: list[int] = []
+        get, word = self.pairs.cache.get, self.pairs.word
+        for piece in pieces:
+            out += get(piece) or word(piece)
+        if len(self.held) > 2 * self.pairs.longest and len(self.held) > 2 * self.pairs.lookahead + GUARD:
+            out += self._inside()
+        return out
 
-    def _inside(self) -> Iterator[int]:
+    def _inside(self) -> list[int]:
         """The buffer is one unfinished pre-token: its tokens before the lookahead are settled."""
-        raw = self.held[:-GUARD].encode("utf-8", "replace")
+        raw = self.held[:-GUARD].encode()
         settled, at, ids, cut = len(raw) - self.pairs.lookahead, 0, [], (0, 0)
         for i in self.pairs.merge(raw):
             at += len(self.pairs.bytes_of[i])
@@ -171,32 +188,39 @@ class Transducer:
             if at == len(raw) or raw[at] & 0xC0 != 0x80:  # a cut inside a character could not be fed again
                 cut = (at, len(ids))
         if cut[0]:
-            yield from ids[: cut[1]]
-            self.held = raw[cut[0] :].decode("utf-8", "replace") + self.held[-GUARD:]
+            self.held = raw[cut[0] :].decode() + self.held[-GUARD:]
+        return ids[: cut[1]]
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, ids ARRAY<INT>) for every row of df."""
+    """(key, ids ARRAY<INT>) for every row of df. Of a text only the ids themselves grow with its length, four bytes each."""
     path = path or vocabulary_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(path)
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf.iloc[:, 0], "ids": [pairs.encode(t if isinstance(t, str) else None) for t in pdf.iloc[:, 1]]})
+        for b in batches:
+            values, ends = array("i"), array("i", [0])
+            for row in b.column(1):
+                for ids in pairs.stream(row.as_py()):
+                    values.extend(ids)
+                ends.append(len(values))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(values, np.int32) if values else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "ids"])
 
-    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def count_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, tokens BIGINT) for every row of df."""
+    """(key, tokens BIGINT) for every row of df; no ids are kept."""
     path = path or vocabulary_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(path)
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf.iloc[:, 0], "tokens": [len(pairs.encode(t if isinstance(t, str) else None)) for t in pdf.iloc[:, 1]]})
+        for b in batches:
+            sizes = [sum(map(len, pairs.stream(row.as_py()))) for row in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=[key, "tokens"])
 
-    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens bigint")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens bigint")
 
 
 def decode_column(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:

@@ -76,3 +76,36 @@ def test_table(spark):
     back = bpe.decode_column(bpe.encode_column(df, "doc_id", "text"), "doc_id", "ids")
     assert {r["doc_id"]: r["text"] for r in back.collect()}[4] == " \n\n "
     assert bpe.encode_column(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_every_document_runs_through_the_transducer(spark, monkeypatch):
+    fed, most = [], []
+
+    class Counting(bpe.Transducer):
+        def feed(self, text):
+            fed.append(len(text))
+            out = super().feed(text)
+            most.append(len(self.held))
+            return out
+
+    monkeypatch.setattr(bpe, "Transducer", Counting)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for t in texts:
+        assert PAIRS.encode(t) == (REFERENCE.encode_ordinary(t) if t else [])
+    assert sum(fed) == sum(len(t or "") for t in texts) and max(fed) <= bpe.BLOCK and len(fed) > len(texts)
+    assert max(most) <= 2 * PAIRS.longest  # what waits is part of one word, whatever the length of the text
+
+
+def test_long_texts_keep_a_bounded_buffer():
+    t, most, n = bpe.Transducer(PAIRS), 0, 0
+    for _ in range(300):
+        n += len(t.feed("levy on rent, 25% of it\n" * 20))
+        most = max(most, len(t.held))
+    assert n + len(t.finish()) == len(REFERENCE.encode_ordinary("levy on rent, 25% of it\n" * 6000)) and most < 16
+
+
+@pytest.mark.parametrize("text", ["a\ud83d\ude00b", "x\ud83d", "\ude00y", "a\ud83d\ud83d\ude00", "é\udc00" * 30])
+def test_surrogates(text):
+    want = REFERENCE.encode_ordinary(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
+    assert all(PAIRS.encode(text, block) == want for block in (1, 2, 3, 512))
+    assert [i for c in small(1).stream(text * 2000, 64) for i in c] == small(1).encode((text * 2000).encode("utf-16", "surrogatepass").decode("utf-16", "replace"), 10**6)
