@@ -5,8 +5,9 @@ items are taken in descending size and each goes to the sequence of lowest cost
 are open from the start as the total needs; another one is opened only when an item fits nowhere. Only an item larger
 than the capacity is split: into full containers and a rest that is packed like any item.
 
-Items are dealt by a hash of their key into packing groups of about `group_tokens` tokens, each packed by one task, so
-no task grows with the data and copies of one text spread over all groups.
+Items are dealt by a hash of their key into packing groups of about `group` containers, each packed by one task, so no task
+grows with the data and copies of one text spread over all groups. What lies in a group's emptiest container is taken out
+again and packed together with that of the other groups, until one group is left.
 
 Defined results: items of size zero or null take no room and get a null container; equal sizes go in the order of the
 key; an empty table gives an empty result. The key must be unique.
@@ -14,6 +15,8 @@ key; an empty table gives an empty result. The key must be unique.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,36 +44,44 @@ def assign(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(sized: DataFrame, key: str, capacity: int, group_tokens: int = 2_000_000) -> DataFrame:
+def pack(sized: DataFrame, key: str, capacity: int, group: int = 1024) -> DataFrame:
     """sized(key, tokens) -> (key, part, first_token, tokens, container): one row per item or part of a split item."""
     kind = sized.schema[key].dataType.simpleString()
     sized = materialize(sized.select(key, "tokens"))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    groups = max(1, round(total / group_tokens))
-    some = sized.filter("tokens > 0").withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    some = sized.filter("tokens > 0")
     whole = F.floor(F.col("tokens") / capacity).cast("int")
-    full = some.filter(F.col("tokens") > capacity).select(
-        key, F.posexplode(F.sequence(F.lit(0), whole - 1)).alias("part", "_p"), "_group"
-    ).select(
+    full = some.filter(F.col("tokens") > capacity).select(key, F.posexplode(F.sequence(F.lit(0), whole - 1)).alias("part", "_p")).select(
         key, F.col("part").cast("int"), (F.col("part").cast("bigint") * capacity).alias("first_token"), F.lit(capacity).cast("bigint").alias("tokens"),
         F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("part").cast("string")).alias("container"),
     )
     split = F.col("tokens") > capacity
     rest = some.select(
         key, F.when(split, whole).otherwise(0).alias("part"), F.when(split, whole.cast("bigint") * capacity).otherwise(F.lit(0).cast("bigint")).alias("first_token"),
-        F.when(split, F.col("tokens") % capacity).otherwise(F.col("tokens")).alias("tokens"), "_group",
+        F.when(split, F.col("tokens") % capacity).otherwise(F.col("tokens")).alias("tokens"),
     ).filter("tokens > 0")
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "part"], ignore_index=True)
-        where = assign([int(x) for x in pdf["tokens"]], capacity)
-        return pdf[[key, "part", "first_token", "tokens"]].assign(container=[f"{group[0]}-{k}" for k in where])
+        where = np.array(assign([int(x) for x in pdf["tokens"]], capacity))
+        emptiest = int(np.bincount(where, pdf["tokens"]).argmin())
+        return pdf[[key, "part", "first_token", "tokens"]].assign(container=[f"{group[1]}-{group[0]}-{k}" for k in where], again=where == emptiest)
 
-    packed = rest.groupBy("_group").applyInPandas(run, f"`{key}` {kind}, part int, first_token bigint, tokens bigint, container string")
+    schema = f"`{key}` {kind}, part int, first_token bigint, tokens bigint, container string, again boolean"
+    groups, turn, done = max(1, round(total / (group * capacity))), 0, []
+    while True:
+        dealt = rest.withColumn("_group", F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(groups)).cast("int")).withColumn("_turn", F.lit(turn))
+        packed = dealt.groupBy("_group", "_turn").applyInPandas(run, schema)
+        if groups == 1:
+            done.append(packed.drop("again"))
+            break
+        packed = materialize(packed)
+        done.append(packed.filter("not again").drop("again"))
+        rest, groups, turn = packed.filter("again").select(rest.columns), max(1, groups // group), turn + 1
     none = sized.filter("tokens is null or tokens <= 0").select(
         key, F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("first_token"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("container")
     )
-    return packed.unionByName(full).unionByName(none)
+    return reduce(DataFrame.unionByName, done).unionByName(full).unionByName(none)
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrid.llm import packing as K
 
@@ -27,7 +28,7 @@ def test_table(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([0, None, 3, 50, 99, 100, 101, 250, 1000])) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, tokens long")
-    got = K.pack(df, "doc_id", 100, group_tokens=5000).collect()
+    got = K.pack(df, "doc_id", 100, group=20).collect()
     total, used = defaultdict(int), defaultdict(int)
     for r in got:
         total[r["doc_id"]] += r["tokens"]
@@ -43,3 +44,12 @@ def test_table(spark):
     fill = K.fill(K.pack(df, "doc_id", 100), 100).first()
     assert fill["fullest"] <= 100 and fill["filled"] > 0.9
     assert K.pack(df.limit(0), "doc_id", 100).count() == 0
+
+
+def test_emptiest_containers_are_packed_again(spark):
+    df = spark.createDataFrame([(i, 3 + i * 37 % 61) for i in range(3000)], "doc_id long, tokens long")
+    got = K.pack(df, "doc_id", 100, group=12)
+    assert got.count() == got.select("doc_id").distinct().count() == 3000
+    assert got.select(F.substring_index("container", "-", 1).alias("turn")).distinct().count() > 2
+    one, many = K.fill(K.pack(df, "doc_id", 100), 100).first(), K.fill(got, 100).first()
+    assert many["tokens"] == one["tokens"] and many["fullest"] <= 100 and many["filled"] > 0.9
