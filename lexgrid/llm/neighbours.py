@@ -1,25 +1,33 @@
 """The most similar vectors for every vector.
 
-A forest of random-projection trees: in each tree all nodes of a level share one random direction and split at the median
-that a bounded sample has there. Every vector goes to its leaf in each tree; the branches not taken, of all trees together,
-wait in one priority queue by how narrowly they were missed, and the nearest `probes` of them are descended too, more of them the
-deeper the trees are. Vectors that share a leaf are candidates, compared in blocks over 4-bit codes; the candidates are then reranked with
-exact cosines. Where codes can't choose, because a row has more similar rows in a leaf than are kept, it is compared with every chunk vector exactly.
+A forest of random-projection trees: in each tree all nodes of a level share one direction, of several random ones that along which the
+sample spreads most, and split at the median that the sample has there. Every vector goes to its leaf in each tree; the branches not taken, of all trees
+together, wait in one priority queue by how narrowly they were missed, and the nearest `probes` of them are descended too, more of them the deeper the trees are.
+Vectors that share a leaf are compared in blocks over 6-bit codes.
 
-Only codes (half a byte a dimension) travel to the leaves; exact vectors are read again for candidates alone. Thresholds take
-4 bytes a node and at most 2^20 nodes a tree, and are fitted on `sample` vectors at most (the index holds every vector).
+A code lies within a known angle of its vector: at most asin(sqrt(dim) / 2 / length of the code). A pair is dropped only if that angle leaves no
+room for a cosine of `at_least`, or for a place among the row's k nearest of that leaf. What is left is reranked with exact cosines. Where codes can't
+choose, because rows have many more candidates than k in a leaf, the exact vectors of the whole leaf are compared instead.
+
+With complete=True, rows that the forest gave fewer than k neighbours (those with few vectors as near as `at_least`) are compared with all
+chunk vectors exactly, block by block: isolated vectors have no neighbourhood that an index could bound, so this takes rows x chunks.
+
+Only codes (six bits a dimension) travel to the leaves; exact vectors are read again for candidates alone. The forest is fitted on `sample` vectors
+at most (the index holds every vector), so a tree has at most sample / 4 leaves; beyond that leaves grow, and a leaf that the sample shows to be
+larger than four leaves is compared in pairs of blocks, each a task of its own.
 
 Exact copies of a vector form a class; the forest sees one representative of each, so a group of copies, however large,
 is one row there, and its members take their neighbours from the class.
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part; a repeated row counts
-once; a key with several vectors has the neighbours of all of them; ties in cosine go to the smaller key; a vector is no neighbour of itself; an empty side gives an empty result.
+once; a key with several vectors has the neighbours of all of them; cosines are compared after rounding to 12 digits, ties go to the smaller key;
+a vector is no neighbour of itself; an empty side gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,25 +38,30 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_DEPTH = 20
-#: Rows of two or three numbers: some 50 MB.
-BROADCAST_ROWS = 1_000_000
-#: 4-bit codes change a cosine by less than this (checked in the tests); candidates are kept so far below the threshold.
-SLACK = 0.09
+#: Rows of one number: some 4 MB.
+BROADCAST_ROWS = 250_000
+#: Rows of a block where all of one block are compared with all of another.
+BLOCK = 16_384
+#: Random directions of which a level takes one.
+CHOICE = 16
 #: Trees of more than FLAT levels have MORE further probes for each level beyond, since each split parts some neighbours.
-FLAT, MORE = 7, 4
-#: Crowded rows that are compared with all chunks in one pass.
-CROWD = 16_384
+FLAT, MORE = 7, 1
+#: Pairs of blocks of a large leaf are numbered with so many bits.
+SPLITS = 12
 
 
 class Forest:
-    """Directions (trees, depth, dim) and thresholds (trees, 2^depth), fitted on a sample of unit vectors."""
+    """Directions (trees, depth, dim) and thresholds (trees, 2^depth), fitted on a sample of unit vectors; counts (trees, 2^depth): sample rows of each leaf."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        self.directions = rng.standard_normal((trees, depth, dim)).astype(np.float32)
+        offered = rng.standard_normal((trees * depth, CHOICE, dim)).astype(np.float32)
+        offered /= np.linalg.norm(offered, axis=2, keepdims=True)
+        wide = (sample[:8192] @ offered.reshape(-1, dim).T).std(0).reshape(-1, CHOICE).argmax(1) if len(sample) else np.zeros(trees * depth, int)
+        self.directions = offered[np.arange(trees * depth), wide].reshape(trees, depth, dim)
         self.thresholds = np.zeros((trees, 1 << depth), np.float32)
+        self.counts = np.zeros((trees, 1 << depth), np.int64)
         for t in range(trees):
             node = np.ones(len(sample), np.int64)
             for level in range(depth):
@@ -62,6 +75,7 @@ class Forest:
                 known = count >= 8
                 self.thresholds[t, sorted_node[first[known]]] = sorted_p[(first + count // 2)[known]]
                 node = 2 * node + (p >= self.thresholds[t, node])
+            self.counts[t] = np.bincount(node - (1 << depth), minlength=1 << depth)
 
     def leaves(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Leaf codes (rows, trees + probes); the leaves of a row are all different."""
@@ -112,22 +126,23 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(x: np.ndarray) -> pa.Array:
-    """8-bit codes; the direction counts, so each vector uses the whole range."""
-    q = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
-    return _binary(q)
-
+    """Codes of 6 bits a dimension, four dimensions in three bytes; the direction counts, so each vector uses the whole range."""
+    q = np.rint(x * (31 / np.abs(x).max(1, keepdims=True))).astype(np.int32) + 32
+    q = np.pad(q, ((0, 0), (0, -q.shape[1] % 4)), constant_values=32)
+    word = q[:, ::4] << 18 | q[:, 1::4] << 12 | q[:, 2::4] << 6 | q[:, 3::4]
+    packed = np.ascontiguousarray(np.stack((word >> 16, word >> 8 & 255, word & 255), 2).astype(np.uint8).reshape(len(x), -1))
+    offsets = np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
 
-def _binary(q: np.ndarray) -> pa.Array:
-    q = np.ascontiguousarray(q)
-    offsets = np.arange(len(q) + 1, dtype=np.int32) * q.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(q)])
 
-
-def _decode(column: pa.Array, dim: int) -> np.ndarray:
-    raw = b"".join(column.to_pylist()) if column.offset or column.null_count else None
-    data = raw if raw is not None else column.buffers()[2]
-    x = np.frombuffer(data, np.int8)[: len(column) * dim].reshape(-1, dim).astype(np.float32)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def _decode(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of codes, and the angle within which each one's own vector lies: rounding moves no number by more than one half."""
+    wide = -(-dim // 4)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, wide, 3).astype(np.int32)
+    word = raw[:, :, 0] << 16 | raw[:, :, 1] << 8 | raw[:, :, 2]
+    x = np.stack((word >> 18, word >> 12 & 63, word >> 6 & 63, word & 63), 2).reshape(-1, 4 * wide)[:, :dim].astype(np.float32) - 32
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / size, np.arcsin(np.minimum(1, math.sqrt(dim) / 2 / size[:, 0])) + 1e-6
 
 
 def _hashed(raw: DataFrame) -> DataFrame:
@@ -159,84 +174,48 @@ def _coded(df: DataFrame, dim: int) -> DataFrame:
     return wanted.mapInArrow(run, "kind string, id bigint, key string, h1 bigint, h2 bigint, code binary")
 
 
-def _halve(x: np.ndarray) -> np.ndarray:
-    """4-bit codes, two numbers a byte."""
-    q = np.clip(np.rint(x * (7 / np.abs(x).max(1, keepdims=True))), -7, 7).astype(np.int8) + 8
-    if q.shape[1] % 2:
-        q = np.concatenate((q, np.full((len(q), 1), 8, np.int8)), axis=1)
-    return (q[:, ::2] << 4 | q[:, 1::2]).astype(np.uint8)
-
-
-def _unhalve(column: pa.Array, width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-    x = np.empty((len(raw), 2 * width), np.float32)
-    x[:, ::2], x[:, 1::2] = raw >> 4, raw & 15
-    x -= 8
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def _vectors(raw: DataFrame, dim: int) -> DataFrame:
+    """One row for each class of usable vectors: (kind, id, h1, h2, vector, key)."""
+    return raw.filter(F.size("vector") == dim).groupBy("id", "kind", "h1", "h2").agg(F.first("vector").alias("vector"), F.min("key").alias("key"))
 
 
-def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float, keep: int, dim: int) -> DataFrame:
-    """(a, b): ids of representatives that share a leaf and whose codes are similar; of each row's in a leaf the best `keep`. a is the question if there is one.
-    A row a that lost some has a row (a, null)."""
-    width = (dim + 1) // 2
+def _place(df: DataFrame, forest: Forest, probes: int, n: int, leaf_size: int, dim: int, column: str, schema: str) -> DataFrame:
+    """Rows of df with the leaves of their `column`, codes or vectors, one row a leaf; a leaf beyond four times its size stands for pairs of blocks."""
+    parts = np.ceil(forest.counts * (n / max(1, forest.counts[0].sum())) / (4 * leaf_size)).clip(1, (1 << SPLITS) - 1).astype(np.int64)
+    names = df.columns
+    sent = df.sparkSession.sparkContext.broadcast((forest, parts))  # a few bytes for each row of the sample
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, parts = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _decode(b.column(1), dim)
+            given = b.column(names.index(column))
+            x = _decode(given, dim)[0] if column == "code" else _matrix(given, dim)[1].astype(np.float32)
             leaves = forest.leaves(x, probes)
-            again = np.repeat(np.arange(b.num_rows), leaves.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), b.column(0).take(pa.array(again)), _binary(_halve(x)[again])], names=["leaf", "id", "code"])
-
-    def within(question: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (query row, chunk row) of one leaf, of two chunks once; the rows that lost some."""
-        chunks, questions = np.flatnonzero(~question), np.flatnonzero(question)
-        c = x[chunks]
-        left, right, score = [], [], []
-        for rows, triangle in ((chunks, True), (questions, False)):
-            for s in range(0, len(rows), 1024):
-                sims = x[rows[s : s + 1024]] @ (c[s:] if triangle else c).T
-                hit = np.flatnonzero(sims >= at_least - SLACK)
-                i, j = np.divmod(hit, max(1, sims.shape[1]))
-                if triangle:
-                    off = j > i
-                    hit, i, j = hit[off], i[off], j[off]
-                left.append(rows[s + i])
-                right.append(chunks[(s if triangle else 0) + j])
-                score.append(sims.ravel()[hit])
-        left, right, score = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right, score))
-        crowded = left[:0]
-        if len(left) and np.bincount(np.concatenate((left, right))).max() > keep:
-            best = np.zeros(len(left), bool)
-            for side in (left, right):
-                order = np.lexsort((-score, side))
-                first = np.flatnonzero(np.diff(side[order], prepend=-1))
-                rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
-                best[order[rank < keep]] = True
-            lost = ~best
-            crowded = np.unique(np.concatenate((left[lost], right[lost & ~question[left]])))
-            left, right = left[best], right[best]
-        return left, right, crowded
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row, leaf = np.repeat(np.arange(b.num_rows), leaves.shape[1]), leaves.ravel().astype(np.int64)
+            many = parts[leaf >> 24, (leaf & 0xFFFFFF) - parts.shape[1]]
+            mine = np.repeat(b.column(names.index("id")).to_numpy(), leaves.shape[1]) // 2 % many
+            again = np.repeat(np.arange(len(row)), many)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+            low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+            row, leaf = pa.array(row[again]), pa.array((leaf[again] << 2 * SPLITS) | (low << SPLITS) | high)
+            yield pa.RecordBatch.from_arrays([leaf, *[b.column(i).take(row) for i in range(len(names))]], names=["leaf", *names])
+
+    return df.mapInArrow(run, f"leaf bigint, {schema}")
+
+
+def _by_leaf(placed: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """each(rows of whole leaves) over all leaves; leaf is the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            leaf, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            if not len(leaf):
-                return
-            question, x = (ids & 1) == 1, _unhalve(table.column(2), width)
+            leaf = table.column(0).to_numpy()
             edge = np.append(np.flatnonzero(np.diff(leaf, prepend=-1)), len(leaf))
-            found = [(a + i, a + j, a + c) for a, b in zip(edge, edge[1:]) for i, j, c in [within(question[a:b], x[a:b])] if len(i)]
-            if found:
-                i, j, crowded = (ids[np.concatenate(v)] for v in zip(*found))
-                swap = ((i & 1) == 0) & (i > j)
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                pairs = np.unique(np.stack((i, j), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-                if len(crowded := np.unique(crowded)):
-                    yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], names=["a", "b"])
+            for a, b in zip(edge, edge[1:]):
+                yield from each(table.slice(a, b - a))
 
         for b in batches:
             if not b.num_rows:
@@ -251,87 +230,168 @@ def _candidates(classes: DataFrame, forest: Forest, probes: int, at_least: float
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    placed = classes.select("id", "code").mapInArrow(place, "leaf int, id bigint, code binary")
-    return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return placed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
+
+
+def _chosen(sims: np.ndarray, off: np.ndarray, off_c: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, chunk) of sims that may be exact cosines of `least` or more and among the row's k best, given the angles by which codes may be off."""
+    lowest = math.cos(min(math.pi, math.acos(least) + float(off.max() + off_c.max()))) if len(off_c) else least
+    hit = np.flatnonzero(sims >= lowest)
+    i, j = np.divmod(hit, max(1, sims.shape[1]))
+    s, away = np.minimum(sims.ravel()[hit], 1), off[i] + off_c[j]
+    room = np.sqrt(1 - s * s) * away + away * away / 2
+    keep = s + room >= least
+    i, j, low, high = i[keep], j[keep], (s - room)[keep], (s + room)[keep]
+    size = np.bincount(i, minlength=len(sims))
+    if len(i) and size.max() > k:
+        order = np.lexsort((-low, i))
+        first = np.cumsum(size) - size
+        kth = np.full(len(sims), -2.0)
+        full = size >= k
+        kth[full] = low[order[first[full] + k - 1]]
+        keep = high >= kth[i]
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def _candidates(placed: DataFrame, at_least: float, k: int, dim: int) -> DataFrame:
+    """(a, b): ids of representatives that share a leaf and may be neighbours; of two chunks a is the smaller, else a is the question.
+    A leaf with rows of more than 8 k candidates has one row (leaf, null) instead."""
+
+    def each(leaf: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = leaf.column(1).to_numpy()
+        x, off = _decode(leaf.column(2), dim)
+        question = (ids & 1) == 1
+        chunks = np.flatnonzero(~question)
+        c, found = x[chunks], []
+        for rows in (chunks, np.flatnonzero(question)):
+            for s in range(0, len(rows) if len(chunks) else 0, 1024):
+                some = rows[s : s + 1024]
+                sims = x[some] @ c.T
+                if rows is chunks:
+                    sims[np.arange(len(some)), s + np.arange(len(some))] = -2
+                i, j = _chosen(sims, off[some], off[chunks], at_least, k)
+                if len(i) and np.bincount(i).max() > 8 * k:
+                    yield pa.RecordBatch.from_arrays([pa.array([leaf.column(0)[0].as_py()]), pa.nulls(1, pa.int64())], names=["a", "b"])
+                    return
+                found.append((ids[some[i]], ids[chunks[j]]))
+        if found:
+            i, j = (np.concatenate(v) for v in zip(*found))
+            swap = ((i & 1) == 0) & (i > j)
+            pairs = np.unique(np.stack((np.where(swap, j, i), np.where(swap, i, j)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return _by_leaf(placed, each, "a bigint, b bigint").distinct()
+
+
+_RANKED = "kind string, a string, b string, cosine double"
+
+
+def _exact_block(table: pa.Table, asked: np.ndarray, chunks: np.ndarray, at_least: float, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of the chunk rows for each of the asked rows, by exact vectors; table has columns kind, key, vector."""
+    kind, key = (np.array(table.column(c).to_pylist(), object) for c in ("kind", "key"))
+    rows, x = _matrix(table.column("vector").combine_chunks(), dim)
+    exact = np.full((len(table), dim), np.nan)
+    exact[rows] = x
+    single = exact.astype(np.float32)
+    asked, chunks = asked[~np.isnan(exact[asked, 0])], chunks[~np.isnan(exact[chunks, 0])]
+    for s in range(0, len(asked) if len(chunks) else 0, 512):
+        some = asked[s : s + 512]
+        sims = single[some] @ single[chunks].T
+        own = (kind[some] == "c")[:, None] & (key[some][:, None] == key[chunks])
+        sims[own] = -2
+        least = np.partition(sims, -k, axis=1)[:, -k, None] if len(chunks) > k else -2
+        i, j = np.nonzero((sims >= np.maximum(least, at_least) - 1e-5) & (sims > -1.5))
+        score = np.round((exact[some[i]] * exact[chunks[j]]).sum(1), 12)
+        keep = score >= at_least
+        i, j, score = i[keep], j[keep], score[keep]
+        order = np.lexsort((key[chunks[j]].astype(str), -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        top = rank < k
+        a, b = some[i[top]], chunks[j[top]]
+        yield pa.RecordBatch.from_arrays([pa.array(kind[a], pa.string()), pa.array(key[a], pa.string()), pa.array(key[b], pa.string()), pa.array(score[top])], names=["kind", "a", "b", "cosine"])
+
+
+def _crowded(raw: DataFrame, crowded: DataFrame, place: Callable[[DataFrame, str, str], DataFrame], at_least: float, k: int, dim: int) -> DataFrame:
+    """The k nearest of each row in each of the crowded(leaf) leaves, by exact vectors."""
+    count = crowded.count()
+    vectors = _vectors(raw, dim).select("id", "kind", "key", "vector")
+    placed = place(vectors, "vector", "id bigint, kind string, key string, vector array<float>").join(_small(crowded, count), "leaf", "left_semi")
 
+    def each(leaf: pa.Table) -> Iterator[pa.RecordBatch]:
+        return _exact_block(leaf, np.arange(len(leaf)), np.flatnonzero(leaf.column(1).to_numpy() & 1 == 0), at_least, k, dim)
 
-def _crowded_pairs(raw: DataFrame, crowded: DataFrame, at_least: float, k: int, dim: int) -> list[DataFrame]:
-    """(a, b) as of _candidates: the k nearest chunks of the crowded rows(a), and those as near but for rounding, among all chunks by exact vectors.
-    Each pass takes some CROWD rows past all chunks."""
-    count = crowded.count()
-    if not count:
-        return []
-    whole = raw.filter(F.size("vector") == dim)
-    one = lambda df: df.groupBy("id").agg(F.first("vector").alias("vector"))
-    asked = materialize(one(whole.join(_small(crowded.withColumnRenamed("a", "id"), count), "id", "left_semi")))
-    chunks = materialize(one(whole.filter("kind = 'c'")))
-    passes, out = -(-count // CROWD), []
-    for n in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).toArrow()
-        rows, q = _matrix(part.column("vector").combine_chunks(), dim)
-        sent = raw.sparkSession.sparkContext.broadcast((part.column("id").to_numpy()[rows], q.astype(np.float32)))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            for b in batches:
-                rows, x = _matrix(b.column(1), dim)
-                ids, x = b.column(0).to_numpy()[rows], x.astype(np.float32)
-                for s in range(0, len(names) if len(ids) else 0, 512):
-                    sims = q[s : s + 512] @ x.T
-                    sims[names[s : s + 512, None] == ids] = -1
-                    least = np.partition(sims, -k, axis=1)[:, -k, None] if len(ids) > k else -1
-                    i, j = np.nonzero(sims >= np.maximum(least, at_least) - 1e-5)
-                    a, b_ = names[s + i], ids[j]
-                    swap = ((a & 1) == 0) & (a > b_)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b_, a)), pa.array(np.where(swap, a, b_))], names=["a", "b"])
-
-        out.append(chunks.select("id", "vector").mapInArrow(score, "a bigint, b bigint"))
-    return out
+    return _by_leaf(placed, each, _RANKED)
+
+
+def _against_all(vectors: DataFrame, asked: DataFrame, count: int, n: int, k: int, dim: int) -> DataFrame:
+    """vectors(kind, key, vector), asked(kind, key): the k nearest chunks of each asked row among all, block against block."""
+    wide, high = max(1, -(-count // BLOCK)), max(1, -(-n // BLOCK))
+    place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    q = vectors.join(_small(asked, count), ["kind", "key"], "left_semi").select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda i: place("key", wide) * high + i)).alias("leaf"), F.lit(True).alias("asks"), "kind", "key", "vector"
+    )
+    c = vectors.filter("kind = 'c'").select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: i * high + place("key", high))).alias("leaf"), F.lit(False).alias("asks"), "kind", "key", "vector"
+    )
+
+    def each(leaf: pa.Table) -> Iterator[pa.RecordBatch]:
+        asks = np.asarray(leaf.column("asks").combine_chunks())
+        return _exact_block(leaf, np.flatnonzero(asks), np.flatnonzero(~asks), -1.0, k, dim)
+
+    found = _by_leaf(q.unionByName(c), each, _RANKED)
+    best = Window.partitionBy("kind", "a").orderBy(F.desc("cosine"), "b")
+    return found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
 def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 12)
 
 
 def nearest(
-    chunks: DataFrame, questions: DataFrame | None = None, k: int = 10, at_least: float = 0.9, dim: int = 64,
-    trees: int = 5, probes: int = 5, leaf_size: int = 512, sample: int = 32_768,
+    chunks: DataFrame, questions: DataFrame | None = None, k: int = 10, at_least: float = 0.9, complete: bool = False, dim: int = 64,
+    trees: int = 3, probes: int = 8, leaf_size: int = 512, sample: int = 262_144,
 ) -> DataFrame:
     """chunks(key, vector), questions(key, vector) -> (kind, key, neighbour, cosine, rank).
 
     kind is c where the row's vector is a chunk's and q where it is a question's; neighbours are chunks; rank counts from 1.
-    Only neighbours of cosine `at_least` are returned, which keeps the search to vectors that a leaf can hold together.
+    The forest returns neighbours of cosine `at_least`; with complete=True all k of every row come out, however far they are.
     """
     parts = [df.select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.col("vector").cast("array<float>").alias("vector")) for kind, df in (("c", chunks), ("q", questions)) if df is not None]
     raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     raw = _hashed(raw.filter(F.col("key").isNotNull()))
-    n = raw.count()
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(n, 2) / leaf_size))))
-    every = max(1, n // sample)
-    picked = _coded(raw.filter((F.col("kind") == "c") & (F.pmod(F.col("h1"), F.lit(every)) == 0)), dim).select("code").limit(2 * sample)
-    codes = [r[0] for r in picked.collect()]  # 2 * sample codes of dim bytes at most
-    forest = Forest(_decode(pa.array([bytes(c) for c in codes], pa.binary()), dim) if codes else np.zeros((0, dim), np.float32), trees, depth)
-
     classes = materialize(
         _coded(raw, dim).groupBy("kind", "h1", "h2").agg(F.min(F.struct("key", "id", "code")).alias("r"), F.max("key").alias("last"))
         .select("kind", "h1", "h2", "r.id", "r.key", "r.code", (F.col("r.key") != F.col("last")).alias("many"))
     )
-    candidates = materialize(_candidates(classes, forest, probes + MORE * max(0, depth - FLAT), at_least, 4 * (k + 1), dim))
-    pairs = candidates.filter("b is not null")
-    exactly = _crowded_pairs(raw, candidates.filter("b is null").select("a"), at_least, k + 1, dim)
-    if exactly:
-        pairs = materialize(reduce(DataFrame.unionByName, exactly, pairs).distinct())
+    n = classes.count()
+    depth = max(1, min(math.ceil(math.log2(max(n, 2) / leaf_size)), int(math.log2(sample / 4))))
+    probes = min(probes + MORE * max(0, depth - FLAT), trees * ((1 << depth) - 1))  # no more than there are leaves
+    every = max(1, -(-n // sample))
+    picked = classes.filter((F.col("kind") == "c") & (F.pmod(F.col("h1"), F.lit(every)) == 0)).select("code").limit(2 * sample).toArrow()  # 2 * sample codes of dim bytes at most
+    forest = Forest(_decode(picked.column(0), dim)[0], trees, depth)
+    place = lambda df, column, schema: _place(df, forest, probes, n, leaf_size, dim, column, schema)
+
+    candidates = materialize(_candidates(place(classes.select("id", "code"), "code", "id bigint, code binary"), at_least, k + 1, dim))
+    pairs, crowded = candidates.filter("b is not null"), candidates.filter("b is null").select(F.col("a").alias("leaf"))
 
     # exact vectors of the candidates alone
     used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    some = raw.filter(F.size("vector") == dim).join(_small(used, 2 * pairs.count()), "id", "left_semi")
-    exact = some.repartition("id").groupBy("id", "kind", "h1", "h2").agg(F.first("vector").alias("v"), F.min("key").alias("key"))
-    of_a = exact.select(F.col("id").alias("ia"), "kind", F.col("key").alias("a"), F.col("v").alias("va"))
-    of_b = exact.filter("kind = 'c'").select(F.col("id").alias("ib"), F.col("key").alias("b"), F.col("v").alias("vb"))
+    exact = _vectors(raw.join(_small(used, 2 * pairs.count()), "id", "left_semi"), dim)
+    of_a = exact.select(F.col("id").alias("ia"), "kind", F.col("key").alias("a"), F.col("vector").alias("va"))
+    of_b = exact.filter("kind = 'c'").select(F.col("id").alias("ib"), F.col("key").alias("b"), F.col("vector").alias("vb"))
     named = pairs.select(F.col("a").alias("ia"), F.col("b").alias("ib")).join(of_a, "ia").join(of_b, "ib")
     ranked = materialize(named.select("kind", "a", "b", _cosine("va", "vb").alias("cosine")).filter(F.col("cosine") >= at_least))
     directed = ranked.unionByName(ranked.filter("kind = 'c'").select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    if not crowded.isEmpty():
+        directed = materialize(directed.unionByName(_crowded(raw, crowded, place, at_least, k + 1, dim)).distinct())
+    if complete:
+        vectors = _vectors(raw, dim)
+        have = directed.groupBy("kind", F.col("a").alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+        rest = materialize(classes.select("kind", "key").join(have, ["kind", "key"], "left_anti"))
+        directed = directed.unionByName(_against_all(materialize(vectors.select("kind", "key", "vector")), rest, rest.count(), n, k + 1, dim)).distinct()
 
     # classes of copies: the first k + 1 keys of a class stand for it as neighbours, each member is a row of its own
     many = classes.filter("many").select("kind", "h1", "h2", F.col("key").alias("rep"))

@@ -4,8 +4,7 @@ from test_neighbours import brute, clustered, table
 from lexgrid.llm import neighbours as N
 
 
-def test_dense_cluster_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(N, "CROWD", 100)  # several passes
+def test_dense_cluster_is_exact(spark):
     x = clustered(4, groups=1, each=300, alone=100, noise=0.01)
     keys = [f"{i:05}" for i in range(len(x))]
     want = brute(keys, x, [*keys, "q"], [*x, x[0] + 0.001])
