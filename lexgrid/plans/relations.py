@@ -81,7 +81,7 @@ def own_text_end(spark: SparkSession, d: str) -> DataFrame:
 
 def page_containment(spark: SparkSession, d: str) -> DataFrame:
     """How many other chunks of its version begin within each chunk's span, whatever its length and with or without a page. Counted without
-    making the pairs, which grow faster than the chunks: the spans of a version overlap. The SQL still takes only spans over 500 characters with a page."""
+    making the pairs, which grow faster than the chunks: the spans of a version overlap."""
     c = chunks(spark, d, "corpus_version", "char_start", "char_end").filter("char_start is not null and char_end is not null")
     spans = c.select("corpus_version", F.col("chunk_id").alias("span_id"), F.col("char_start").alias("lo"), F.col("char_end").alias("hi"))
     held = J.count_within(c, spans, ["corpus_version"], "char_start", "lo", "hi")
@@ -107,10 +107,10 @@ def band_amounts(spark: SparkSession, d: str) -> DataFrame:
 _ROOT = "regexp_extract({p}, '^(Schedule [IVXLC]+|[0-9]{{1,3}}[A-Z]{{0,3}})', 1)"
 _VALID = r"regexp_matches({p}, '^(Schedule [IVXLC]+|[0-9]{{1,3}}[A-Z]{{0,3}})(\([0-9A-Za-z]+\))*$')"
 _NODES = f"nodes AS MATERIALIZED (SELECT corpus_version AS v, node_path AS p, min(chunk_id) AS id FROM {CHUNKS} WHERE {_VALID.format(p='node_path')} GROUP BY ALL)"
-_PRE = "SELECT {c}, i, len(b) AS n, r || array_to_string(b[:i], '') AS pre FROM (SELECT *, " + _ROOT.replace("{p}", "p") + r" AS r, regexp_extract_all(p, '\([0-9A-Za-z]+\)') AS b FROM {t}), generate_series(0, 40) g(i) WHERE i <= len(b)"
+_PRE = "SELECT {c}, i, len(b) AS n, r || array_to_string(b[:i], '') AS pre FROM (SELECT *, unnest(generate_series(0, len(b))) AS i FROM (SELECT *, " + _ROOT.replace("{p}", "p") + r" AS r, regexp_extract_all(p, '\([0-9A-Za-z]+\)') AS b FROM {t}))"
 _SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _CANON = rf"regexp_replace(regexp_replace(regexp_replace(min(target_path), '^{_SP}+|{_SP}+$', '', 'g'), '^(?i:sections?|sec\.?|s\.|u/s\.?){_SP}*', ''), '{_SP}+\(', '(', 'g')"
-_HOP = f"""{_NODES}, e AS (SELECT corpus_version AS v, chunk_id AS id, pos - 1 AS pos, outgoing_refs[pos] AS p FROM {CHUNKS}, generate_series(1, 60) g(pos) WHERE pos <= len(outgoing_refs)), ev AS (SELECT * FROM e WHERE {_VALID.format(p='p')}),
+_HOP = f"""{_NODES}, e AS (SELECT corpus_version AS v, chunk_id AS id, generate_subscripts(outgoing_refs, 1) - 1 AS pos, unnest(outgoing_refs) AS p FROM {CHUNKS}), ev AS (SELECT * FROM e WHERE {_VALID.format(p='p')}),
 w AS ({_PRE.format(c='v, id, pos', t='ev')}), f AS (SELECT w.v, w.id, pos, arg_max(nodes.id, i) AS target FROM w JOIN nodes ON nodes.v = w.v AND nodes.p = w.pre GROUP BY ALL),
 l AS (SELECT x.id, nodes.id AS a FROM ({_PRE.format(c='v, id', t='nodes')}) x JOIN nodes ON nodes.v = x.v AND nodes.p = x.pre WHERE i < n),
 hop AS MATERIALIZED (SELECT v, id, target, min(pos) AS position FROM f WHERE id <> target AND NOT EXISTS (SELECT 1 FROM l WHERE l.id = f.id AND l.a = f.target) GROUP BY ALL)"""
@@ -129,7 +129,7 @@ SQL = {
     "ordered_targets": "WITH k AS (SELECT ref_id, min(corpus_version) AS corpus_version, min(from_path) AS from_path, min(target_path) AS t FROM cross_references GROUP BY 1) SELECT corpus_version, from_path, CAST(count(*) AS INT) AS refs, left(sha256(string_agg(coalesce(t, ''), '|' ORDER BY ref_id)), 16) AS digest FROM k GROUP BY ALL",
     "subtree_refs": f"SELECT corpus_version, {_ROOT.format(p='node_path')} AS root, count(*) AS refs, count(DISTINCT ref) AS different FROM (SELECT corpus_version, node_path, unnest(outgoing_refs) AS ref FROM {CHUNKS} WHERE {_VALID.format(p='node_path')}) GROUP BY ALL",
     "own_text_end": f"WITH c AS (SELECT * FROM {CHUNKS}) SELECT p.chunk_id, min(c.char_start - p.char_start) AS own_end FROM c JOIN c p ON p.corpus_version = c.corpus_version AND p.chunk_id = c.parent_id GROUP BY 1 HAVING min(c.char_start - p.char_start) IS NOT NULL",
-    "page_containment": f"WITH c AS (SELECT * FROM {CHUNKS} WHERE char_start IS NOT NULL AND char_end IS NOT NULL), s AS (SELECT * FROM c WHERE page_start IS NOT NULL AND char_end - char_start > 500) SELECT s.chunk_id AS span_id, count(*) AS holds FROM s JOIN c ON c.corpus_version = s.corpus_version AND c.char_start BETWEEN s.char_start AND s.char_end AND c.chunk_id <> s.chunk_id GROUP BY 1",
+    "page_containment": f"WITH c AS (SELECT * FROM {CHUNKS} WHERE char_start IS NOT NULL AND char_end IS NOT NULL), s AS (SELECT * FROM c WHERE char_start <= char_end) SELECT s.chunk_id AS span_id, count(*) AS holds FROM s JOIN c ON c.corpus_version = s.corpus_version AND c.char_start BETWEEN s.char_start AND s.char_end AND c.chunk_id <> s.chunk_id GROUP BY 1",
     "version_as_of": "SELECT doc_id, corpus_version FROM (SELECT doc_id, published_at FROM documents WHERE published_at IS NOT NULL) d ASOF LEFT JOIN (SELECT DISTINCT corpus_version, ingested_at FROM corpus_versions) v ON d.published_at >= v.ingested_at",
     "band_amounts": """SELECT o_orderkey, CAST(CAST((greatest(least(a, 100000) - 50000, 0) * 5) * 0.01 AS DECIMAL(20,4)) + CAST((greatest(least(a, 200000) - 100000, 0) * 10.5) * 0.01 AS DECIMAL(20,4)) + CAST((greatest(a - 200000, 0) * 20) * 0.01 AS DECIMAL(20,4)) AS DOUBLE) AS amount
         FROM (SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS a FROM orders)""",

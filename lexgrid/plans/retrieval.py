@@ -51,7 +51,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    """What a question asks for: the paths of chunks whose vector has a cosine of 0.75 or more with its own, however many. The SQL still takes them from the 10 nearest."""
+    """What a question asks for: the paths of chunks whose vector has a cosine of 0.75 or more with its own, however many."""
     near = R.near(_vectors(spark, d), _asked(spark, d), 0.75)
     return near.join(_paths(spark, d), "item_id").select("query_id", F.col("path").alias("required")).distinct()
 
@@ -77,7 +77,7 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_head(spark: SparkSession, d: str) -> DataFrame:
-    """The lexical ranking with its first 20 re-sorted by cosine, each pair's own. The SQL still knows only the cosines of the 100 nearest."""
+    """The lexical ranking with its first 20 re-sorted by cosine, each pair's own."""
     lexical = materialize(_bm25(spark, d, 40))
     new = R.pair_cosines(lexical.filter("rank <= 20"), _vectors(spark, d), _asked(spark, d))
     return U.rerank(lexical, new.withColumnRenamed("score", "new_score"))
@@ -166,13 +166,12 @@ qw AS (SELECT DISTINCT query_id, unnest({_T.format(x='question')}) AS w FROM {QU
 bms AS MATERIALIZED (SELECT query_id, item_id, tie, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.5 / (c + 1.5 * (0.7 + 0.3 * l / a))), 9) AS score FROM qw JOIN tf USING (w) JOIN df USING (w), n GROUP BY ALL),
 bm AS MATERIALIZED (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie, item_id) AS INT) AS rank, score FROM bms WHERE score > 0)"""
 _UNIT = "(SELECT {k} AS k, list_transform(v, lambda x: CAST(x AS DOUBLE) / s) AS v FROM (SELECT {k}, v, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN v])) AS s FROM (SELECT {k}, min({v}) AS v FROM {t} GROUP BY 1) WHERE len(v) = 64) WHERE s > 0 AND isfinite(s) AND len([x FOR x IN v IF x IS NULL]) = 0)"
-_KN = f"""kn AS MATERIALIZED (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank, score FROM (
-SELECT q.k AS query_id, c.k AS item_id, round(list_dot_product(q.v, c.v), 9) AS score FROM {_UNIT.format(k='query_id', v='vectors', t='query_vectors')} q, {_UNIT.format(k='chunk_id', v='embedding', t='chunk_embeddings')} c)
-QUALIFY rank <= 100)"""
+_KN = f"""cosines AS MATERIALIZED (SELECT q.k AS query_id, c.k AS item_id, round(list_dot_product(q.v, c.v), 9) AS score FROM {_UNIT.format(k='query_id', v='vectors', t='query_vectors')} q, {_UNIT.format(k='chunk_id', v='embedding', t='chunk_embeddings')} c),
+kn AS MATERIALIZED (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank, score FROM cosines QUALIFY rank <= 100)"""
 _VALIDP = r"regexp_matches(p, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})(\([0-9A-Za-z]+\))*$')"
 _PATHS = f"paths AS (SELECT chunk_id AS item_id, p AS path FROM (SELECT chunk_id, min(node_path) AS p FROM chunks GROUP BY 1) WHERE {_VALIDP})"
-_GOLD = "gold AS (SELECT DISTINCT query_id, path AS required FROM kn JOIN paths USING (item_id) WHERE rank <= 10 AND score >= 0.75)"
-_WAYS = r"""ways AS (SELECT query_id, required, r || array_to_string(b[:i], '') AS path FROM (SELECT *, regexp_extract(required, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})', 1) AS r, regexp_extract_all(required, '\([0-9A-Za-z]+\)') AS b FROM gold), generate_series(0, 40) g(i) WHERE i <= len(b))"""
+_GOLD = "gold AS (SELECT DISTINCT query_id, path AS required FROM cosines JOIN paths USING (item_id) WHERE score >= 0.75)"
+_WAYS = r"""ways AS (SELECT query_id, required, r || array_to_string(b[:i], '') AS path FROM (SELECT *, unnest(generate_series(0, len(b))) AS i FROM (SELECT *, regexp_extract(required, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})', 1) AS r, regexp_extract_all(required, '\([0-9A-Za-z]+\)') AS b FROM gold)))"""
 _MET = f"""WITH {_BM}, {_KN}, {_PATHS}, {_GOLD}, {_WAYS},
 run AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), path) AS rank FROM bm JOIN paths USING (item_id) WHERE rank <= 20 GROUP BY query_id, path),
 hit AS (SELECT w.query_id, required, min(rank) AS rank FROM ways w LEFT JOIN (SELECT * FROM run WHERE rank <= 10) r ON r.query_id = w.query_id AND r.path = w.path GROUP BY ALL),
@@ -186,7 +185,7 @@ SQL = {
     "rrf_fuse": f"""WITH {_BM}, {_KN}, u AS (SELECT query_id, item_id, rank, 0 AS src FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, item_id, rank, 1 FROM kn),
         f AS (SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank * 10 + src) AS b FROM u GROUP BY ALL)
         SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 14) DESC, b, item_id) AS INT) AS rank, round(s, 6) AS score FROM f QUALIFY rank <= 10""",
-    "rerank_head": f"""WITH {_BM}, {_KN}, h AS (SELECT b.*, k.score AS ns, count(*) OVER (PARTITION BY b.query_id) AS n FROM bm b LEFT JOIN kn k USING (query_id, item_id) WHERE b.rank <= 40)
+    "rerank_head": f"""WITH {_BM}, {_KN}, h AS (SELECT b.*, k.score AS ns, count(*) OVER (PARTITION BY b.query_id) AS n FROM bm b LEFT JOIN cosines k USING (query_id, item_id) WHERE b.rank <= 40)
         SELECT query_id, item_id, CAST(p AS INT) AS rank, CAST(n - p + 1 AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank > 20, CASE WHEN rank <= 20 THEN ns END DESC NULLS LAST, rank) AS p FROM h)""",
     "fallback_leg": f"WITH {_BM}, {_KN}, f AS (SELECT * FROM kn WHERE rank <= 10 AND score >= 0.75) SELECT query_id, item_id, rank, round(score, 6) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM bm WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM f))",
     "interleaved": f"""WITH {_BM}, {_KN}, u AS (SELECT query_id, item_id, min(rank * 10 + src) AS o FROM (SELECT query_id, item_id, rank, 0 AS src FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, item_id, rank, 1 FROM kn WHERE rank <= 20) GROUP BY ALL)

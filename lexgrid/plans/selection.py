@@ -81,7 +81,7 @@ def event_rates(spark: SparkSession, d: str) -> DataFrame:
     return X.rates(e, ["event_type"], {"large": (F.col("value") > 50, F.col("value").isNotNull()), "of_low_users": (F.col("user_id") < 100, F.lit(True))})
 
 
-_LINES = "(SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), generate_series(1, 4000) g(i) WHERE i <= len(ls))"
+_LINES = "(SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))"
 _ROOT = "regexp_extract(node_path, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})', 1)"
 _VALID = r"regexp_matches(node_path, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})(\([0-9A-Za-z]+\))*$')"
 _R = retrieval
@@ -89,13 +89,13 @@ _MONEY = r"'^\s*(-?)\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(lakh|
 SQL = {
     "subtree_layout": f"SELECT chunk_id, root, s AS char_start, s + n AS char_end FROM (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY corpus_version, root ORDER BY ordinal, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT chunk_id, corpus_version, {_ROOT} AS root, ordinal, length(text) AS n FROM {CHUNKS} WHERE {_VALID} AND length(text) > 0))",
     "heading_probe": rf"SELECT doc_id, line_no, concat_ws(',', CASE WHEN regexp_matches(line, '^[A-Z][A-Z .]{{3,}}$') THEN 'capitals' END, CASE WHEN regexp_matches(line, '^\([0-9]+\) ') THEN 'number' END, CASE WHEN line LIKE 'Q:%' THEN 'question' END) AS cues FROM {_LINES} WHERE cues <> ''",
-    "table_cells": f"""SELECT doc_id, line_no, CAST(k - 1 AS INT) AS "column", c[k] AS cell FROM (SELECT doc_id, line_no, string_split(line, ' | ') AS c FROM {_LINES} WHERE contains(line, ' | ')), generate_series(1, 40) g(k) WHERE k <= len(c)""",
+    "table_cells": f"""SELECT doc_id, line_no, CAST(generate_subscripts(c, 1) - 1 AS INT) AS "column", unnest(c) AS cell FROM (SELECT doc_id, line_no, string_split(line, ' | ') AS c FROM {_LINES} WHERE contains(line, ' | '))""",
     "modal_lines": rf"SELECT corpus_version, count(*) FILTER (n) AS negative, count(*) FILTER (a AND NOT n) AS affirmative FROM (SELECT corpus_version, regexp_matches(text, '(?i)\b(?:shall not|need not|may not|cannot|must not)\b') AS n, regexp_matches(text, '(?i)\b(?:shall|must|may|is entitled to|is required to)\b') AS a FROM {CHUNKS} WHERE text IS NOT NULL) GROUP BY 1",
     "miss_causes": f"""WITH {_R._BM}, {_R._KN}, {_R._PATHS}, {_R._GOLD}, {_R._WAYS}, run AS (SELECT query_id, path, min(rank) AS rank FROM bm JOIN paths USING (item_id) WHERE rank <= 20 GROUP BY ALL),
         a AS (SELECT DISTINCT w.query_id, w.required FROM ways w JOIN run r ON r.query_id = w.query_id AND r.path = w.path WHERE w.path <> w.required AND r.rank <= 10)
         SELECT CASE WHEN r.rank <= 10 THEN 'found' WHEN a.required IS NOT NULL THEN 'granularity' WHEN r.rank <= 20 THEN 'ranking' ELSE 'recall' END AS cause, count(*) AS wanted
         FROM gold g LEFT JOIN run r ON r.query_id = g.query_id AND r.path = g.required LEFT JOIN a ON a.query_id = g.query_id AND a.required = g.required GROUP BY 1""",
-    "fact_checks": f"""WITH f AS (SELECT turn_id, turn, CAST(k - 1 AS INT) AS pos, facts[k] AS f FROM (SELECT turn_id, any_value(turn) AS turn, any_value(facts) AS facts FROM labelled_turns GROUP BY 1), generate_series(1, 20) g(k) WHERE k <= len(facts)),
+    "fact_checks": f"""WITH f AS (SELECT turn_id, turn, CAST(generate_subscripts(facts, 1) - 1 AS INT) AS pos, unnest(facts) AS f FROM (SELECT turn_id, any_value(turn) AS turn, any_value(facts) AS facts FROM labelled_turns GROUP BY 1)),
         n AS (SELECT *, row_number() OVER (PARTITION BY turn_id, f.name ORDER BY pos) AS again FROM f)
         SELECT turn_id, pos, CASE WHEN f.name IS NULL OR f.value IS NULL THEN 'malformed_entry' WHEN again > 1 THEN 'duplicate_field' WHEN coalesce(f.status, '') NOT IN ('stated', 'inferred') THEN 'bad_status'
         WHEN NOT coalesce(contains(lower(turn), lower(regexp_replace(f.value, '^-', ''))), false) THEN 'span_not_in_turn' WHEN NOT (regexp_matches(lower(f.value), {_MONEY}) OR regexp_matches(f.value, '^[0-9]+$')

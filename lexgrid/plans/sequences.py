@@ -39,8 +39,8 @@ def line_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Section numbers that a corpus version lacks."""
-    c = chunks(spark, d, "corpus_version", "section_number").select("corpus_version", F.col("section_number").try_cast("bigint").alias("n")).filter("n is not null")
+    """Ordinals that the live chunks of a corpus version lack: removed and damaged ones leave gaps."""
+    c = chunks(spark, d, "corpus_version", "ordinal").select("corpus_version", F.col("ordinal").cast("bigint").alias("n")).filter("n is not null")
     return S.missing_numbers(c, "corpus_version", "n")
 
 
@@ -127,7 +127,7 @@ def prf_counts(spark: SparkSession, d: str) -> DataFrame:
     return both
 
 
-_LINES = "(SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), generate_series(1, 4000) g(i) WHERE i <= len(ls))"
+_LINES = "(SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))"
 _TURNS = "(SELECT request_id, min(thread_id) AS thread_id, min(user_id) AS user_id, min(question) AS question, min(created_at) AS created_at FROM turn_requests GROUP BY 1)"
 _EST = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]'))"
 _TOKN = "len(regexp_extract_all(lower(replace(replace(translate(text, chr(160) || chr(173), ' '), 'ß', 'ss'), 'İ', 'i̇')), '[a-z0-9]+'))"
@@ -137,7 +137,7 @@ SQL = {
     "line_carry_forward": rf"SELECT * FROM (SELECT doc_id, line_no, last_value(nullif(regexp_extract(line, '^\(([0-9]+)\) ', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS paragraph FROM {_LINES}) WHERE paragraph IS NOT NULL",
     "line_neighbours": f"SELECT doc_id, line_no, last_value(n IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(n IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (SELECT doc_id, line_no, CASE WHEN trim(line, ' ') <> '' THEN CAST(length(line) AS INT) END AS n FROM {_LINES})",
     "line_islands": f"SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS rows FROM (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM {_LINES} WHERE contains(line, ' | ')) GROUP BY doc_id, g",
-    "section_gaps": f"WITH c AS (SELECT DISTINCT corpus_version, TRY_CAST(section_number AS BIGINT) AS n FROM {CHUNKS}), m AS (SELECT corpus_version, max(n) AS m FROM c GROUP BY 1) SELECT corpus_version, k AS number FROM m, generate_series(1, 5000) g(k) WHERE k <= m EXCEPT SELECT corpus_version, n FROM c",
+    "section_gaps": f"WITH c AS (SELECT DISTINCT corpus_version, CAST(ordinal AS BIGINT) AS n FROM {CHUNKS}), m AS (SELECT corpus_version, max(n) AS m FROM c GROUP BY 1) SELECT corpus_version, unnest(generate_series(1, m)) AS number FROM m EXCEPT SELECT corpus_version, n FROM c",
     "rate_limit_batch": f"""SELECT request_id, in_thread, of_user FROM (SELECT *, count(*) OVER (PARTITION BY thread_id ORDER BY epoch_us(created_at) RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) AS in_thread, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(created_at) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS of_user FROM {_TURNS} WHERE created_at IS NOT NULL) WHERE in_thread > 5 OR (user_id IS NOT NULL AND of_user > 50)""",
     "last_turns": f"SELECT thread_id, request_id FROM {_TURNS} QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, request_id DESC) <= 3",
     "first_seen_questions": f"SELECT thread_id, question, min(created_at) AT TIME ZONE 'UTC' AS created_at FROM {_TURNS} WHERE question IS NOT NULL GROUP BY ALL",

@@ -111,7 +111,7 @@ SQL = {
     "numbers": rf"""WITH n AS (SELECT query_id, list_distinct([CAST(regexp_replace(s, '[^0-9.]', '', 'g') AS DECIMAL(26,6)) * CASE WHEN s LIKE '%lakh' THEN 100000 WHEN s LIKE '%crore' THEN 10000000 ELSE 1 END
         FOR s IN regexp_extract_all(lower(question), '[0-9][0-9,]*(?:\.[0-9]+)*(?: ?(?:lakh|crore))?') IF TRY_CAST(regexp_replace(s, '[^0-9.]', '', 'g') AS DECIMAL(26,6)) IS NOT NULL]) AS v FROM {QUESTIONS})
         SELECT query_id, CAST(len(v) AS INT) AS n, CAST(coalesce(list_sum(v), 0) AS DOUBLE) AS total FROM n""",
-    "fact_amounts": r"""WITH f AS (SELECT turn_id, CAST(k - 1 AS INT) AS pos, facts[k] AS f FROM (SELECT turn_id, any_value(facts) AS facts FROM labelled_turns GROUP BY 1), generate_series(1, 20) g(k) WHERE k <= len(facts)),
+    "fact_amounts": r"""WITH f AS (SELECT turn_id, CAST(generate_subscripts(facts, 1) - 1 AS INT) AS pos, unnest(facts) AS f FROM (SELECT turn_id, any_value(facts) AS facts FROM labelled_turns GROUP BY 1)),
         p AS (SELECT *, lower(f.value) AS v, '^\s*(-?)\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(lakh|crore|cr|k)?(?:\s*rupees)?\s*$' AS m, '^([0-9]{4})-(?:[0-9]{2})?([0-9]{2})$' AS y FROM f),
         q AS (SELECT *, regexp_extract(v, m, 2) AS d, regexp_extract(v, m, 3) AS u, regexp_extract(trim(f.value), y, 1) AS a, regexp_extract(trim(f.value), y, 2) AS b FROM p)
         SELECT turn_id, pos, f.name AS name, f.status AS status, CAST(CASE WHEN d <> '' THEN (CASE WHEN regexp_extract(v, m, 1) = '-' THEN -1 ELSE 1 END) * CAST(replace(d, ',', '') AS DECIMAL(24,4)) * (CASE u WHEN 'lakh' THEN 100000 WHEN 'crore' THEN 10000000 WHEN 'cr' THEN 10000000 WHEN 'k' THEN 1000 ELSE 1 END) END AS DOUBLE) AS amount,
