@@ -13,8 +13,9 @@ from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import references as R
 from ..operators import sequences as S
+from ..session import materialize
 from ..sources.tables import once, table
-from . import retrieval
+from . import relations, retrieval
 from .corpus import CHUNKS, chunks, questions
 
 
@@ -73,17 +74,34 @@ def terms_in(spark: SparkSession, d: str) -> DataFrame:
     return each.filter(T.has_phrase(F.col("all"), F.col("words"))).groupBy("term").agg(F.count("*").alias("chunks"))
 
 
+def _lead_ins(c: DataFrame, above: DataFrame) -> DataFrame:
+    """(item_id, up, context): the ancestors of each chunk that has some, and the tokens of their own lines, which end where their first child begins."""
+    end = c.select("corpus_version", F.col("parent_id").alias("chunk_id"), F.col("char_start").alias("_s")).join(c.select("corpus_version", "chunk_id", "char_start"), ["corpus_version", "chunk_id"])
+    end = end.groupBy("chunk_id").agg(F.min(F.greatest(F.col("_s") - F.col("char_start"), F.lit(0))).alias("_end"))
+    own = F.regexp_replace(F.when(F.col("_end").isNull(), F.col("text")).otherwise(F.substr("text", F.lit(1), F.col("_end"))), r"\n+$", "")
+    tokens = c.join(end, "chunk_id", "left").select(F.col("chunk_id").alias("ancestor"), F.coalesce(T.token_estimate(own), F.lit(0)).alias("_t"))
+    return above.join(tokens, "ancestor").groupBy("id").agg(F.collect_set("ancestor").alias("up"), F.sum("_t").cast("int").alias("context")).withColumnRenamed("id", "item_id")
+
+
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 chunks of every question, packed into 3,000 tokens."""
-    ranked = retrieval._bm25(spark, d, 20)
-    c = chunks(spark, d, "corpus_version", "node_path", "text").filter(P.parts(F.col("node_path")).isNotNull())
-    top = ranked.join(c.withColumnRenamed("chunk_id", "item_id"), "item_id")
+    """The first 20 chunks of every question with their lead-ins, packed into 3,000 tokens; what room is left goes to the chunks they refer to."""
+    ranked = materialize(retrieval._bm25(spark, d, 20))
+    c = materialize(chunks(spark, d, "corpus_version", "parent_id", "node_path", "char_start", "text").filter(P.parts(F.col("node_path")).isNotNull()))
     nodes = c.select(F.col("corpus_version").alias("scope"), F.col("node_path").alias("path"), F.col("chunk_id").alias("id"))
-    wanted = top.select(F.col("item_id")).distinct()
-    above = J.lineage(nodes).join(wanted, F.col("id") == F.col("item_id"), "left_semi").groupBy("id").agg(F.collect_set("ancestor").alias("up"))
+    hops = relations._hops(spark, d).join(ranked.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").select("id", "target", "position")
+    hops = materialize(hops)
+    wanted = ranked.select("item_id").unionByName(hops.select(F.col("target").alias("item_id"))).distinct()
+    above = J.lineage(nodes).join(wanted, F.col("id") == F.col("item_id"), "left_semi").select("id", "ancestor")
     own = F.array("item_id")
-    cand = top.join(above, F.col("item_id") == F.col("id"), "left").select("query_id", "rank", "item_id", F.coalesce(F.concat(own, "up"), own).alias("lineage"), F.coalesce(T.token_estimate(F.col("text")), F.lit(0)).alias("tokens"))
-    return V.pack(cand)
+    items = c.withColumnRenamed("chunk_id", "item_id").join(wanted, "item_id", "left_semi").join(_lead_ins(c, above), "item_id", "left").select(
+        "item_id", "text", F.coalesce("context", F.lit(0)).alias("context"), F.coalesce(F.concat(own, "up"), own).alias("lineage"),
+        (F.coalesce(T.token_estimate(F.col("text")), F.lit(0)) + F.coalesce("context", F.lit(0))).alias("tokens"),
+    )
+    items = materialize(items)
+    asked = questions(spark, d).select("query_id", F.col("question").alias("query"))
+    targets = hops.join(items.select(F.col("item_id").alias("target"), "lineage", "tokens"), "target")
+    units = V.evidence(ranked.join(items, "item_id").join(asked, "query_id"), 3000, targets, fill=True)
+    return V.rows(units)
 
 
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +148,7 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     return v.join(have, "corpus_version", "left").select("corpus_version", "chunks", "roots", "digest", F.col("chunk_count").eqNullSafe(F.col("chunks").cast("int")).alias("count_holds"))
 
 
-_LINES = "(SELECT doc_id, CAST(i - 1 AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), generate_series(1, 4000) g(i) WHERE i <= len(ls))"
+_LINES = "(SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))"
 _EST = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]'))"
 _VALID = r"regexp_matches(node_path, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})(\([0-9A-Za-z]+\))*$')"
 SQL = {

@@ -141,13 +141,92 @@ def test_fact_state_equals_a_fold(spark):
     assert {tuple(r) for r in S.overrides(df, "e", "f", "s", "v", "o").collect()} == log
 
 
-def test_pack_and_evidence(spark):
+def test_pack(spark):
     rows = [("q", 1, "b", ["b", "a"], 40), ("q", 2, "big", ["big"], 900), ("q", 3, "a", ["a"], 50), ("q", 4, "c", ["c", "a"], 10), ("q", 5, "d", ["d"], 45)]
     got = V.pack(spark.createDataFrame(rows, "query_id string, rank int, item_id string, lineage array<string>, tokens int"), 100).orderBy("position").collect()
     assert [(r["item_id"], r["rank"], r["tokens"]) for r in got] == [("a", 1, 50), ("d", 5, 45)]
+
+
+def evidence_by_hand(hits, refs, defs, budget, expand, fill):
+    """One query: hits and defs [(item, lineage, tokens)], refs {item: [(item, lineage, tokens)]}."""
+    out = []  # (item, rank, tokens, lineage, role, cited_by)
+
+    def offer(item, line, n, rank, role, by):
+        if {u[0] for u in out} & set(line):
+            return
+        gone = [u for u in out if item in u[3]]
+        if n + sum(u[2] for u in out if u not in gone) > budget:
+            return
+        ranks = [u[1] for u in gone if u[4] == "retrieved"] + [rank] * (role == "retrieved")
+        new = (item, min(ranks), n, line, "retrieved", None) if ranks else (item, rank, n, line, role, by)
+        at = out.index(gone[0]) if gone else len(out)
+        out[:] = [u for u in out[:at]] + [new] + [u for u in out[at:] if u not in gone]
+
+    def refer():
+        for u in [u for u in out if u[4] == "retrieved"]:
+            for t in refs.get(u[0], ()):
+                offer(*t, u[1], "referenced", u[0])
+
+    head = expand or len(hits)
+    for r, h in enumerate(hits, 1):
+        if r == head + 1:
+            refer()
+        offer(*h, r, "retrieved", None)
+    if expand and len(hits) <= head:
+        refer()
+    if fill and not expand:
+        refer()
+    for x in defs:
+        offer(*x, len(hits) + 1, "definition", None)
+    return [(u[0], u[1], u[2], u[4], u[5]) for u in out]
+
+
+def test_evidence_against_a_plain_walk(spark):
+    rng = random.Random(5)
+    names = [f"{r}{c}" for r in "abcdef" for c in ("", "1", "11", "12", "2", "21")]
+    line = {n: [n[:k] for k in range(len(n), 0, -1)] for n in names}
+    size = {n: rng.randrange(5, 60) for n in names}
+    refs = {n: rng.sample(names, rng.randrange(3)) for n in names}
+    refs = {n: [t for t in v if t not in line[n]] for n, v in refs.items()}
+    full = lambda n: (n, line[n], size[n])
+    targets = spark.createDataFrame([(n, i, t, line[t], size[t]) for n, v in refs.items() for i, t in enumerate(v)], "id string, position int, target string, lineage array<string>, tokens int")
+    hits = {f"q{i}": rng.sample(names, 9) for i in range(12)}
+    cand = spark.createDataFrame([(q, i, *full(n)) for q, v in hits.items() for i, n in enumerate(v, 1)], "query_id string, rank int, item_id string, lineage array<string>, tokens int")
+    defs = {q: rng.sample(names, 2) for q in hits}
+    told = spark.createDataFrame([(q, i, *full(n)) for q, v in defs.items() for i, n in enumerate(v)], "query_id string, seq int, item_id string, lineage array<string>, tokens int")
+    for expand, fill in ((0, False), (0, True), (4, False)):
+        got = {}
+        for r in V.rows(V.evidence(cand, 150, targets, told, expand, fill)).orderBy("query_id", "position").collect():
+            got.setdefault(r["query_id"], []).append((r["item_id"], r["rank"], r["tokens"], r["role"], r["cited_by"]))
+        want = {q: evidence_by_hand([full(n) for n in v], {n: [full(t) for t in x] for n, x in refs.items()}, [full(n) for n in defs[q]], 150, expand, fill) for q, v in hits.items()}
+        assert got == want
+    assert V.pack(cand.limit(0)).count() == 0
+
+
+def test_excerpts(spark):
     text = "\n".join(["opening words " * 10] + ["filler line " * 10] * 6 + ["the rare quokka " * 10])
-    cut = V.excerpt(text, "quokka", 80, window=20)
-    assert "quokka" in cut and cut.startswith("opening") and "[...]" in cut and V.excerpt(text, "quokka", 5, window=20) is None
+    cut = lambda t, q, room: spark.range(1).select(V.excerpt(F.lit(t), F.lit(q), F.lit(room), 20)).first()[0]
+    got = cut(text, "quokka", 80)
+    assert got == "\n".join(["opening words " * 10, "[...]", "the rare quokka " * 10])
+    assert cut(text, "quokka", 59) is None and cut(text, "quokka", 60) == got  # 20 + 30 and two marks of 5
+    assert cut(text, "opening", 500) is None and cut(text, "filler", 500) is None and cut(None, "quokka", 500) is None and cut(text, None, 500) is None  # in most runs, or nowhere else
+    assert cut("", "quokka", 500) is None
+    many = "\n".join(["first " * 20, "alpha beta " * 10, "alpha x " * 10, "y z " * 10, "u v " * 10])
+    assert cut(many, "alpha beta", 500) == "\n".join(["first " * 20, "alpha beta " * 10, "alpha x " * 10, "[...]"])
+    assert cut(many, "alpha beta", 50) == "\n".join(["first " * 20, "alpha beta " * 10, "[...]"])
+
+
+def test_oversize_hits_become_excerpts(spark):
+    text = "\n".join(["opening words " * 80] + ["filler line " * 80] * 8 + ["the rare quokka " * 60])
+    rows = [("q", 1, "s", ["s"], 900, "small", 0), ("q", 2, "big", ["big"], 1500, text, 3), ("q", 3, "t", ["t"], 500, "other", 0)]
+    df = spark.createDataFrame(rows, "query_id string, rank int, item_id string, lineage array<string>, tokens int, text string, context int").withColumn("query", F.lit("quokka"))
+    got = [(r["item_id"], r["rank"], r["tokens"]) for r in V.rows(V.evidence(df, 1350)).orderBy("position").collect()]
+    assert got == [("s", 1, 900), ("big", 2, 348)]  # 160 + 180 + 5 tokens and the lead-in's 3; t does not fit beside the reserve
+    below = df.unionByName(df.filter("rank = 3").select("query_id", F.lit(4).alias("rank"), F.lit("under").alias("item_id"), F.array(F.lit("under"), F.lit("big")).alias("lineage"), F.lit(5).alias("tokens"), "text", "context", "query"))
+    assert "big" not in {r["item_id"] for r in V.rows(V.evidence(below, 1350)).collect()}
+
+
+def test_lines_and_markers(spark):
     lines = spark.createDataFrame([(["levy on rent is due", "levy on rent is due now", "other matter", None],), (None,)], "l array<string>")
     assert [r[0] for r in lines.select(V.drop_repeats(F.col("l"))).collect()] == [[0, 2, 3], []]
     assert spark.range(1).select(V.collapse_markers(F.lit("x [4] [4][5]"))).first()[0] == "x [4][5]"
