@@ -12,7 +12,7 @@ choose, because rows have many more candidates than k in a leaf, the exact vecto
 With complete=True, rows that the forest gave fewer than k neighbours (those with few vectors as near as `at_least`) are compared with all
 chunk vectors exactly, block by block: isolated vectors have no neighbourhood that an index could bound, so this takes rows x chunks.
 
-Only codes (six bits a dimension) travel to the leaves; exact vectors are read again for candidates alone. The forest is fitted on `sample` vectors
+Only codes (six bits a dimension) travel to the leaves, once to each subtree in which a vector has leaves; exact vectors are read again for candidates alone. The forest is fitted on `sample` vectors
 at most (the index holds every vector), so a tree has at most sample / 4 leaves; beyond that leaves grow, and a leaf that the sample shows to be
 larger than four leaves is compared in pairs of blocks, each a task of its own.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Rows of one number: some 4 MB.
-BROADCAST_ROWS = 250_000
+#: Rows of one or three numbers: some 50 MB at most.
+BROADCAST_ROWS = 1_000_000
 #: Rows of a block where all of one block are compared with all of another.
 BLOCK = 16_384
 #: Random directions of which a level takes one.
@@ -48,6 +48,8 @@ CHOICE = 16
 FLAT, MORE = 7, 1
 #: Pairs of blocks of a large leaf are numbered with so many bits.
 SPLITS = 12
+#: Stands in the place of such a number where a leaf is whole.
+WHOLE = (1 << 2 * SPLITS) - 1
 
 
 class Forest:
@@ -179,8 +181,9 @@ def _vectors(raw: DataFrame, dim: int) -> DataFrame:
     return raw.filter(F.size("vector") == dim).groupBy("id", "kind", "h1", "h2").agg(F.first("vector").alias("vector"), F.min("key").alias("key"))
 
 
-def _place(df: DataFrame, forest: Forest, probes: int, n: int, leaf_size: int, dim: int, column: str, schema: str) -> DataFrame:
-    """Rows of df with the leaves of their `column`, codes or vectors, one row a leaf; a leaf beyond four times its size stands for pairs of blocks."""
+def _place(df: DataFrame, forest: Forest, probes: int, n: int, leaf_size: int, dim: int, column: str, schema: str, shift: int) -> DataFrame:
+    """Rows of df with the leaves of their `column`, codes or vectors. A row travels once to each subtree, of 2^shift leaves, that it has leaves in, and
+    `rest` names these (two bytes each); a leaf beyond four times its size stands for pairs of blocks, each with a key of its own."""
     parts = np.ceil(forest.counts * (n / max(1, forest.counts[0].sum())) / (4 * leaf_size)).clip(1, (1 << SPLITS) - 1).astype(np.int64)
     names = df.columns
     sent = df.sparkSession.sparkContext.broadcast((forest, parts))  # a few bytes for each row of the sample
@@ -194,19 +197,47 @@ def _place(df: DataFrame, forest: Forest, probes: int, n: int, leaf_size: int, d
             x = _decode(given, dim)[0] if column == "code" else _matrix(given, dim)[1].astype(np.float32)
             leaves = forest.leaves(x, probes)
             row, leaf = np.repeat(np.arange(b.num_rows), leaves.shape[1]), leaves.ravel().astype(np.int64)
-            many = parts[leaf >> 24, (leaf & 0xFFFFFF) - parts.shape[1]]
-            mine = np.repeat(b.column(names.index("id")).to_numpy(), leaves.shape[1]) // 2 % many
-            again = np.repeat(np.arange(len(row)), many)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
-            low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
-            row, leaf = pa.array(row[again]), pa.array((leaf[again] << 2 * SPLITS) | (low << SPLITS) | high)
-            yield pa.RecordBatch.from_arrays([leaf, *[b.column(i).take(row) for i in range(len(names))]], names=["leaf", *names])
-
-    return df.mapInArrow(run, f"leaf bigint, {schema}")
+            tree, node = leaf >> 24, leaf & 0xFFFFFF
+            many = parts[tree, node - parts.shape[1]]
+            plain = many == 1
+            key = ((tree << 24 | node >> shift) << 2 * SPLITS) | WHOLE
+            order = np.lexsort((key[plain], row[plain]))
+            r, k, rest = row[plain][order], key[plain][order], (node[plain][order] & ((1 << shift) - 1)).astype(np.uint16)
+            first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))) if len(r) else np.empty(0, np.int64)
+            yield _rows(b, names, r[first], k[first], rest, np.append(first, len(r)))
+            if not plain.all():
+                row, leaf, many = row[~plain], leaf[~plain], many[~plain]
+                mine = b.column(names.index("id")).to_numpy()[row] // 2 % many
+                again = np.repeat(np.arange(len(row)), many)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+                low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+                yield _rows(b, names, row[again], (leaf[again] << 2 * SPLITS) | (low << SPLITS) | high, np.zeros(len(again), np.uint16), np.arange(len(again) + 1))
+
+    return df.mapInArrow(run, f"leaf bigint, rest binary, {schema}")
+
+
+def _rows(b: pa.RecordBatch, names: list[str], row: np.ndarray, key: np.ndarray, rest: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    rests = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rest))])
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(key), rests, *[b.column(i).take(take) for i in range(len(names))]], names=["leaf", "rest", *names])
+
+
+def _leaves_of(table: pa.Table, shift: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(key of the leaf, its rows) for each leaf of a subtree's rows."""
+    key = table.column("leaf")[0].as_py()
+    rests = table.column("rest").to_pylist()
+    rest = np.frombuffer(b"".join(rests), np.uint16)
+    row = np.repeat(np.arange(len(rests)), [len(x) // 2 for x in rests])
+    order = np.argsort(rest, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(rest[order].astype(np.int64), prepend=-1)), len(order))
+    for a, b in zip(edge, edge[1:]):
+        code = key >> 2 * SPLITS
+        whole = key & WHOLE == WHOLE
+        yield (((code >> 24 << 24 | (code & 0xFFFFFF) << shift | int(rest[order[a]])) << 2 * SPLITS) | WHOLE) if whole else key, row[order[a:b]]
 
 
 def _by_leaf(placed: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """each(rows of whole leaves) over all leaves; leaf is the first column."""
+    """each(all rows of one leaf or subtree) over all of them; leaf is the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,7 +252,7 @@ def _by_leaf(placed: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordBat
             if not b.num_rows:
                 continue
             leaf = b.column(0).to_numpy()
-            cut = int(np.searchsorted(leaf, leaf[-1]))  # the last leaf may go on
+            cut = int(np.searchsorted(leaf, leaf[-1]))  # the last one may go on
             if cut or (held and held[-1].column(0)[-1].as_py() != leaf[0]):
                 yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = [b.slice(cut)]
@@ -254,13 +285,11 @@ def _chosen(sims: np.ndarray, off: np.ndarray, off_c: np.ndarray, least: float,
     return i, j
 
 
-def _candidates(placed: DataFrame, at_least: float, k: int, dim: int) -> DataFrame:
+def _candidates(placed: DataFrame, at_least: float, k: int, dim: int, shift: int) -> DataFrame:
     """(a, b): ids of representatives that share a leaf and may be neighbours; of two chunks a is the smaller, else a is the question.
     A leaf with rows of more than 8 k candidates has one row (leaf, null) instead."""
 
-    def each(leaf: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = leaf.column(1).to_numpy()
-        x, off = _decode(leaf.column(2), dim)
+    def within(ids: np.ndarray, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         question = (ids & 1) == 1
         chunks = np.flatnonzero(~question)
         c, found = x[chunks], []
@@ -272,14 +301,27 @@ def _candidates(placed: DataFrame, at_least: float, k: int, dim: int) -> DataFra
                     sims[np.arange(len(some)), s + np.arange(len(some))] = -2
                 i, j = _chosen(sims, off[some], off[chunks], at_least, k)
                 if len(i) and np.bincount(i).max() > 8 * k:
-                    yield pa.RecordBatch.from_arrays([pa.array([leaf.column(0)[0].as_py()]), pa.nulls(1, pa.int64())], names=["a", "b"])
-                    return
+                    return None
                 found.append((ids[some[i]], ids[chunks[j]]))
+        return tuple(np.concatenate(v) for v in zip(*found)) if found else (ids[:0], ids[:0])
+
+    def each(subtree: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = subtree.column("id").to_numpy()
+        x, off = _decode(subtree.column("code"), dim)
+        found, crowded = [], []
+        for leaf, rows in _leaves_of(subtree, shift):
+            pairs = within(ids[rows], x[rows], off[rows])
+            if pairs is None:
+                crowded.append(leaf)
+            else:
+                found.append(pairs)
         if found:
             i, j = (np.concatenate(v) for v in zip(*found))
             swap = ((i & 1) == 0) & (i > j)
             pairs = np.unique(np.stack((np.where(swap, j, i), np.where(swap, i, j)), 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        if crowded:
+            yield pa.RecordBatch.from_arrays([pa.array(crowded, pa.int64()), pa.nulls(len(crowded), pa.int64())], names=["a", "b"])
 
     return _by_leaf(placed, each, "a bigint, b bigint").distinct()
 
@@ -313,14 +355,14 @@ def _exact_block(table: pa.Table, asked: np.ndarray, chunks: np.ndarray, at_leas
         yield pa.RecordBatch.from_arrays([pa.array(kind[a], pa.string()), pa.array(key[a], pa.string()), pa.array(key[b], pa.string()), pa.array(score[top])], names=["kind", "a", "b", "cosine"])
 
 
-def _crowded(raw: DataFrame, crowded: DataFrame, place: Callable[[DataFrame, str, str], DataFrame], at_least: float, k: int, dim: int) -> DataFrame:
+def _crowded(raw: DataFrame, crowded: DataFrame, place: Callable[[DataFrame, str, str, int], DataFrame], at_least: float, k: int, dim: int) -> DataFrame:
     """The k nearest of each row in each of the crowded(leaf) leaves, by exact vectors."""
     count = crowded.count()
     vectors = _vectors(raw, dim).select("id", "kind", "key", "vector")
-    placed = place(vectors, "vector", "id bigint, kind string, key string, vector array<float>").join(_small(crowded, count), "leaf", "left_semi")
+    placed = place(vectors, "vector", "id bigint, kind string, key string, vector array<float>", 0).join(_small(crowded, count), "leaf", "left_semi")
 
     def each(leaf: pa.Table) -> Iterator[pa.RecordBatch]:
-        return _exact_block(leaf, np.arange(len(leaf)), np.flatnonzero(leaf.column(1).to_numpy() & 1 == 0), at_least, k, dim)
+        return _exact_block(leaf, np.arange(len(leaf)), np.flatnonzero(leaf.column("id").to_numpy() & 1 == 0), at_least, k, dim)
 
     return _by_leaf(placed, each, _RANKED)
 
@@ -370,16 +412,17 @@ def nearest(
     depth = max(1, min(math.ceil(math.log2(max(n, 2) / leaf_size)), int(math.log2(sample / 4))))
     probes = min(probes + MORE * max(0, depth - FLAT), trees * ((1 << depth) - 1))  # no more than there are leaves
     every = max(1, -(-n // sample))
-    picked = classes.filter((F.col("kind") == "c") & (F.pmod(F.col("h1"), F.lit(every)) == 0)).select("code").limit(2 * sample).toArrow()  # 2 * sample codes of dim bytes at most
+    picked = classes.filter((F.col("kind") == "c") & (F.pmod(F.col("h1"), F.lit(every)) == 0)).select("code").toArrow()  # about `sample` codes, chosen by their hashes
     forest = Forest(_decode(picked.column(0), dim)[0], trees, depth)
-    place = lambda df, column, schema: _place(df, forest, probes, n, leaf_size, dim, column, schema)
+    shift = depth - depth // 2  # subtrees of as many leaves as there are subtrees
+    place = lambda df, column, schema, shift: _place(df, forest, probes, n, leaf_size, dim, column, schema, shift)
 
-    candidates = materialize(_candidates(place(classes.select("id", "code"), "code", "id bigint, code binary"), at_least, k + 1, dim))
+    candidates = materialize(_candidates(place(classes.select("id", "code"), "code", "id bigint, code binary", shift), at_least, k + 1, dim, shift))
     pairs, crowded = candidates.filter("b is not null"), candidates.filter("b is null").select(F.col("a").alias("leaf"))
 
     # exact vectors of the candidates alone
-    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    exact = _vectors(raw.join(_small(used, 2 * pairs.count()), "id", "left_semi"), dim)
+    used = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    exact = _vectors(raw.join(_small(used, used.count()), "id", "left_semi"), dim)
     of_a = exact.select(F.col("id").alias("ia"), "kind", F.col("key").alias("a"), F.col("vector").alias("va"))
     of_b = exact.filter("kind = 'c'").select(F.col("id").alias("ib"), F.col("key").alias("b"), F.col("vector").alias("vb"))
     named = pairs.select(F.col("a").alias("ia"), F.col("b").alias("ib")).join(of_a, "ia").join(of_b, "ib")
