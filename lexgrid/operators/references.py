@@ -1,12 +1,14 @@
 """References to records that do not exist.
 
-Every reference adds +1 to the reference count of its key; every record adds +1 to the row count of its key and to
-the existence count until it is removed (-1). The counts are kept per key; a key with references and no existence is
-an orphan, and its references form the report. Counts are plain sums, so deltas fold into an earlier state in any order.
+Signed counts per key, maintained from change deltas: a reference adds +1 to the reference count of its key and its retraction -1; a record adds +1
+to the row count and to the existence count of its key and its removal -1 to the latter. A key with references and no existence is
+an orphan, and its references form the report. Counts are plain sums, so a batch of deltas folds into the stored state of the earlier ones, in any order
+(`maintain`), and the state is never computed anew.
 
 Defined results: rows with a null or blank key are no references; a null scope is a scope like any other (compared
 null-safely); a null reference time is never `late` and reported under period `unknown`; repeated rows must be
-removed beforehand (sources.tables.once). Empty tables give empty reports; extra columns are ignored.
+removed beforehand (sources.tables.once). Empty tables give empty reports; extra columns are ignored. After a retraction `first_ref` is a lower bound: it only
+chooses the keys to look at.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: White space of any kind, as Java's regular expressions need it spelled out.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 #: Leading words for "section" in front of a citation.
@@ -30,21 +34,32 @@ def blank(path: Column) -> Column:
     return path.isNull() | (F.regexp_replace(path, SPACE + "+", "") == "")
 
 
-def reference_deltas(refs: DataFrame) -> DataFrame:
-    """refs(scope, key, at) -> one delta per reference."""
-    return refs.select(
-        "scope", "key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("live"),
-        F.lit(None).cast("timestamp").alias("first_seen"), F.col("at").alias("first_ref"),
-    )
+def _delta(df: DataFrame, refs: int, rows: int, live: int, seen: Column, ref: Column) -> DataFrame:
+    long = lambda n: F.lit(n).cast("long")
+    return df.select("scope", "key", long(refs).alias("refs"), long(rows).alias("rows"), long(live).alias("live"), seen.cast("timestamp").alias("first_seen"), ref.cast("timestamp").alias("first_ref"))
+
+
+def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
+    """refs(scope, key, at) -> one delta per reference; sign -1: they are retracted."""
+    return _delta(refs, sign, 0, 0, F.lit(None), F.col("at"))
+
+
+def insert_deltas(records: DataFrame) -> DataFrame:
+    """records(scope, key, seen_at) -> one delta per new record."""
+    return _delta(records, 0, 1, 1, F.col("seen_at"), F.lit(None))
+
+
+def removal_deltas(records: DataFrame) -> DataFrame:
+    """records(scope, key) -> one delta per record that is removed."""
+    return _delta(records, 0, 0, -1, F.lit(None), F.lit(None))
 
 
 def record_deltas(records: DataFrame) -> DataFrame:
     """records(scope, key, seen_at, removed_at) -> one delta per record, its removal already folded in."""
-    one = F.lit(1).cast("long")
+    gone = F.col("removed_at").isNotNull()
     return records.select(
-        "scope", "key", F.lit(0).cast("long").alias("refs"), one.alias("rows"),
-        (one - F.when(F.col("removed_at").isNotNull(), 1).otherwise(0)).alias("live"),
-        F.col("seen_at").alias("first_seen"), F.lit(None).cast("timestamp").alias("first_ref"),
+        "scope", "key", F.lit(0).cast("long").alias("refs"), F.lit(1).cast("long").alias("rows"), F.when(gone, 0).otherwise(1).cast("long").alias("live"),
+        F.col("seen_at").cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("first_ref"),
     )
 
 
@@ -59,6 +74,12 @@ def fold(*deltas: DataFrame) -> DataFrame:
     ).select(*STATE)
 
 
+def maintain(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
+    """The stored state after a batch of deltas: a table in the shared folder that the next batch starts from. Keys that nothing speaks of any more go."""
+    folded = fold(*([state] if state is not None else []), *deltas)
+    return materialize(folded.filter("refs <> 0 or rows <> 0 or live <> 0"))
+
+
 def suspects(state: DataFrame) -> DataFrame:
     """Keys that are referred to and of which some reference is an orphan: no live record, or a reference before the first."""
     return state.filter((F.col("refs") > 0) & ((F.col("live") <= 0) | (F.col("first_ref") < F.col("first_seen"))))
@@ -70,7 +91,7 @@ def orphans(refs: DataFrame, state: DataFrame, hot_keys: int = 256, salts: int =
     The hot_keys most cited suspect keys are salted on both sides. The list has hot_keys rows at most, so it may be
     broadcast; a key beyond it has less than one hot_keys-th of all references.
     """
-    bad = suspects(state)
+    bad = materialize(suspects(state))  # used twice: the fold runs once
     hot = F.broadcast(bad.orderBy(F.desc("refs"), "scope", "key").limit(hot_keys).filter(F.col("refs") > 1000).select(F.col("scope").alias("_hs"), F.col("key").alias("_hk")))
     is_hot = F.col("_hk").isNotNull()
     on_hot = F.col("scope").eqNullSafe(F.col("_hs")) & (F.col("key") == F.col("_hk"))

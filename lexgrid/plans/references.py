@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import references as R
+from ..session import materialize
 from ..sources.tables import once, table
 
 BY_PATH, BY_ID = "path", "id"
@@ -55,6 +56,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return R.report(p1_found(spark, d))
 
 
+def p1_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """The report from a state that is maintained: all before April 2023 is folded first, later references, chunks and removals come as a second batch of deltas."""
+    refs, records = materialize(_refs(spark, d)), materialize(_records(spark, d))
+    cut = F.lit("2023-04-01").cast("timestamp")
+    early = lambda c: F.coalesce(F.col(c) < cut, F.lit(True))
+    gone = records.filter("removed_at is not null")
+    state = None
+    for now in (lambda c: early(c), lambda c: ~early(c)):
+        state = R.maintain(state, R.reference_deltas(refs.filter(now("at"))), R.insert_deltas(records.filter(now("seen_at"))), R.removal_deltas(gone.filter(now("removed_at"))))
+    return R.report(R.orphans(refs, state))
+
+
 _SQL = r"""
 WITH refs AS (
   SELECT 'cross_references' AS ref_table, 'target_path' AS ref_field, CAST(ref_id AS VARCHAR) AS ref_key, 'path' AS kind, corpus_version,
@@ -79,8 +92,9 @@ WITH refs AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_maintained": p1_maintained}
 SQL = {
     "p1_found": _SQL + "SELECT ref_table, ref_field, ref_key, reason, period FROM judged WHERE reason IS NOT NULL",
+    "p1_maintained": _SQL + "SELECT ref_table, ref_field, period, reason, count(*) AS orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p1_report": _SQL + "SELECT ref_table, ref_field, period, reason, count(*) AS orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
 }

@@ -30,6 +30,21 @@ def test_folding_in_parts_is_folding_at_once(spark):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
 
 
+def test_batches_of_signed_deltas_maintain_the_state(spark):
+    refs = spark.createDataFrame([("t", "f", str(i), "v", f"k{i % 4}", T(5)) for i in range(12)] + [("t", "f", "x", None, "n", None)], REF)
+    recs = spark.createDataFrame([("v", "k0", T(1), None), ("v", "k1", T(1), T(3)), ("v", "k2", T(9), None), (None, "n", T(1), T(2))], REC)
+    back = refs.filter("key = 'k3'")  # these are withdrawn later
+    one = R.maintain(None, R.reference_deltas(refs), R.insert_deltas(recs.filter("key <> 'k2'")))
+    assert {r["key"] for r in R.suspects(one).collect()} == {"k2", "k3"}
+    two = R.maintain(one, R.reference_deltas(back, -1), R.insert_deltas(recs.filter("key = 'k2'")), R.removal_deltas(recs.filter("removed_at is not null")))
+    kept = refs.filter("key <> 'k3'")
+    whole = R.fold(R.reference_deltas(kept), R.record_deltas(recs))
+    assert sorted(map(tuple, two.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert {(r["key"], r["reason"]) for r in R.orphans(kept, two).collect()} == {("k1", "deleted"), ("k2", "late"), ("n", "deleted")}
+    none = R.maintain(two, R.reference_deltas(kept, -1))
+    assert none.filter("refs <> 0").count() == 0 and R.suspects(none).count() == 0
+
+
 def test_hot_key_and_empty_tables(spark):
     refs = [("t", "f", str(i), "v", "hot", T(5)) for i in range(3000)] + [("t", "f", "x", "v", "ok", T(5))]
     found = run(spark, refs, [("v", "ok", T(1), None)])
