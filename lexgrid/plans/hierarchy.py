@@ -19,14 +19,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return once(table(spark, d, "chunks"), ["chunk_id", "corpus_version"], "parent_id", "node_path")
 
 
-def _tree(chunks: DataFrame) -> DataFrame:
-    return H.hierarchy(chunks.select(F.col("corpus_version").alias("scope"), F.col("chunk_id").alias("id"), F.col("parent_id").alias("parent"), own_mark(F.col("node_path")).alias("mark"), F.col("node_path").alias("carry")))
+def _tree(chunks: DataFrame, full: bool = True) -> DataFrame:
+    return H.hierarchy(chunks.select(F.col("corpus_version").alias("scope"), F.col("chunk_id").alias("id"), F.col("parent_id").alias("parent"), own_mark(F.col("node_path")).alias("mark"), F.col("node_path").alias("carry")), full)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks on or below a loop, without a root, or whose place in the tree is not that of their node path."""
-    tree = _tree(_chunks(spark, d))
-    issue = F.when(F.col("status").isin("cycle", "below_cycle", "no_root"), F.col("status")).when(~F.col("path").eqNullSafe(F.coalesce("carry", F.lit(""))), "moved")
+    tree = _tree(_chunks(spark, d), False)
+    issue = F.when(F.col("status").isin("cycle", "below_cycle", "no_root"), F.col("status")).when(~F.col("expected"), "moved")
     return tree.select(F.col("id").alias("chunk_id"), issue.alias("issue")).filter("issue is not null")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import own_dir
 from ..streaming import state as S
 
 
@@ -22,7 +22,7 @@ def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns what it wrote."""
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, at = stream.sparkSession, f"{own_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{at}/rows")

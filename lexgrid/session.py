@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import tempfile
 import uuid
 
@@ -37,21 +39,58 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/lexgrid-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may have ended already
+        pass
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage is cut and the work is done once.
+    """Writes df once to this application's part of the shared folder and reads it back: lineage is cut and the work is done once.
 
-    Dataset.checkpoint() computes an uncached plan twice; a written table also keeps column pruning for its readers.
+    Dataset.checkpoint() computes an uncached plan twice; a written table also keeps column pruning for its readers. `forget` deletes it once nothing reads it any more,
+    else it goes with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a materialized table that nothing will read again; other frames are left alone."""
+    if path := getattr(df, "_materialized", None):
+        _delete(df.sparkSession, path)
+
+
+#: Bytes of input, as the optimizer estimates them, of a partition of costly work; and the most partitions a core.
+PARTITION_BYTES, PARTITIONS_A_CORE = 64 << 20, 64
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out to all cores, for work that costs far more than moving its input. A scan of many splits stays as it is;
     behind a shuffle the sizes of partitions follow their bytes, not the work on them, so the rows are dealt out anew."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan()
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
     shuffled = plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec"
-    return df.repartition(3 * cores) if shuffled or plan.outputPartitioning().numPartitions() < 2 * cores else df
+    if not shuffled and plan.outputPartitioning().numPartitions() >= 2 * cores:
+        return df
+    size = float(execution.optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(max(3 * cores, min(math.ceil(size / PARTITION_BYTES), PARTITIONS_A_CORE * cores)))

@@ -61,3 +61,33 @@ def test_descendants(spark):
     rows = [("v", "a", None, "1"), ("v", "b", "a", "(1)"), ("v", "c", "b", "(a)"), ("v", "d", "a", "(2)")]
     pairs = H.descendants(H.hierarchy(spark.createDataFrame(rows, NODES))).collect()
     assert {(r["ancestor"], r["descendant"], r["distance"]) for r in pairs} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
+
+
+def test_a_chain_of_a_million_rows_is_walked_in_bounded_memory():
+    n = 1_000_000
+    rows = [("v", str(i), str(i - 1) if i else None, "x", "root", "0", None) for i in range(n)]
+    deepest = 0
+    for row in H._walk(rows, full=False):
+        deepest = max(deepest, row[4])
+        assert row[5] is None and row[6] is None
+    assert deepest == n
+
+
+@pytest.mark.parametrize("largest", [200_000, 3])
+def test_expected_paths(spark, largest):
+    rows = [
+        ("v", "a", None, "1", "1"), ("v", "b", "a", "(1)", "1(1)"), ("v", "c", "b", "(a)", "1(1)(a)"), ("v", "d", "a", "(2)", "2(2)"),  # d is moved
+        ("v", "e", "d", "(b)", "1(2)(b)"), ("v", "f", "d", "(b)", "2(2)(b)"), ("v", "g", "a", "é", "1é"), ("v", "h", "g", None, "1é"), ("v", "i", "g", "x", None), ("v", "j", "k", "x", "x"),
+    ]
+    df = spark.createDataFrame(rows, NODES + ", carry string")
+    got = {r["id"]: (r["expected"], r["path"], r["depth"]) for r in H.hierarchy(df, full=False, largest=largest).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": True, "b": True, "c": True, "d": False, "e": True, "f": False, "g": True, "h": True, "i": False, "j": None}
+    assert all(v[1] is None for v in got.values()) and got["e"][2] == 3
+
+
+def test_a_long_chain_beyond_one_task(spark):
+    n = 3000
+    rows = [("v", f"c{i:05}", f"c{i - 1:05}" if i else None, "ab", "ab" * (i + 1) if i % 7 else "x") for i in range(n)]
+    got = H.hierarchy(spark.createDataFrame(rows, NODES + ", carry string"), full=False, largest=100).collect()
+    assert sorted(r["depth"] for r in got) == list(range(1, n + 1)) and all(r["root"] == "c00000" for r in got)
+    assert all(r["expected"] == bool(int(r["id"][1:]) % 7) for r in got)
