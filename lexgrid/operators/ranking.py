@@ -53,22 +53,27 @@ def _blocks(rows: list) -> Iterator[list]:
         yield rows[i : i + QUERY_BLOCK]
 
 
-def bm25_statistics(tokens: DataFrame, words: list[str] | None = None) -> tuple[int, float, dict[str, int]]:
-    """Number of items, average length and document frequencies (of `words` alone if given); tokens(item_id, words ARRAY)."""
+def bm25_statistics(tokens: DataFrame, words: DataFrame | None = None) -> tuple[int, float, dict[str, int]]:
+    """Number of items, average length and document frequencies (of words(word) alone if given); tokens(item_id, words ARRAY)."""
     n, average = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
-    each = tokens.select(F.explode(F.array_distinct("words")).alias("w"))
+    each = tokens.select(F.explode(F.array_distinct("words")).alias("word"))
     if words is not None:
-        each = each.filter(F.col("w").isin(words)) if len(words) <= 2000 else each.join(tokens.sparkSession.createDataFrame([(w,) for w in words], "w string"), "w", "left_semi")
-    return n, average or 0.0, {r[0]: r[1] for r in each.groupBy("w").count().collect()}
+        each = each.join(words.select("word").distinct(), "word", "left_semi")  # broadcast if its size allows, by the optimizer's own check
+    return n, average or 0.0, {r[0]: r[1] for r in each.groupBy("word").count().collect()}
+
+
+def tokenized(items: DataFrame, tokenizer=T.tokens) -> DataFrame:
+    """items(item_id, tie, text) -> a stored table (item_id, tie, words), which every pass of a ranking reads."""
+    return materialize(items.select("item_id", "tie", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("words")))
 
 
 def bm25(items: DataFrame, weights: DataFrame, k: int = 10, k1: float = K1, b: float = B, tokenizer=T.tokens) -> DataFrame:
-    """items(item_id, tie, text), weights(query_id, word, weight) -> ranking by the sum of weight * idf * saturated frequency."""
+    """items(item_id, tie, text) or tokenized(items), weights(query_id, word, weight) -> ranking by the sum of weight * idf * saturated frequency."""
     spark = items.sparkSession
-    tokens = items.select("item_id", "tie", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    tokens = items if "words" in items.columns else tokenized(items, tokenizer)
+    weights = materialize(weights.select("query_id", "word", "weight"))
     rows = weights.groupBy("query_id").agg(F.collect_list(F.struct("word", "weight")).alias("w")).orderBy("query_id").collect()  # the stated query set
-    vocabulary = sorted({x["word"] for r in rows for x in r["w"]})
-    n, average, df = bm25_statistics(tokens, vocabulary)
+    n, average, df = bm25_statistics(tokens, weights)
     parts = [_bm25_block(tokens, block, n, average, df, k, k1, b) for block in _blocks(rows)]
     if not parts:
         return rank(spark.createDataFrame([], RANKED), k)
@@ -83,25 +88,36 @@ def _bm25_block(tokens: DataFrame, rows: list, n: int, average: float, df: dict[
     vocabulary = {w: i for i, w in enumerate(sorted({x["word"] for r in rows for x in r["w"] if x["word"] in df}))}
     idf = np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in vocabulary])
     entries = [(q, vocabulary[x["word"]], x["weight"]) for q, r in enumerate(rows) for x in r["w"] if x["word"] in vocabulary]
+    sent = tokens.sparkSession.sparkContext.broadcast((queries, vocabulary, idf, entries))  # a block of the query set
+
+    def parts(entries: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 512 queries at a time: their first place, the words they have, their weights of these (idf included)."""
+        q, w, v = (np.array(x) for x in zip(*entries)) if entries else (np.empty(0, int),) * 3
+        for a in range(0, len(sent.value[0]), 512):
+            take = (q >= a) & (q < a + 512)
+            words, at = np.unique(w[take], return_inverse=True)
+            block = np.zeros((min(512, len(sent.value[0]) - a), len(words)))
+            np.add.at(block, (q[take] - a, at), v[take] * sent.value[2][w[take].astype(int)])
+            yield a, words.astype(int), block
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qs, ws, vs = (np.array(v) for v in zip(*entries)) if entries else (np.empty(0, int),) * 3
+        queries, vocabulary, _, entries = sent.value
+        blocks = None
         for pdf in batches:
             out = []
             for s in range(0, len(pdf), 1000):
                 part = pdf.iloc[s : s + 1000]
-                tf = np.zeros((len(part), len(vocabulary)))
+                tf = np.zeros((len(vocabulary), len(part)))
                 size = np.array([len(w) for w in part["words"]])
                 for i, words in enumerate(part["words"]):
                     for w, c in Counter(words).items():
                         if (j := vocabulary.get(w)) is not None:
-                            tf[i, j] = c
-                tf = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[:, None] / (average or 1.0)))
-                for a in range(0, len(queries), 512):
-                    take = (qs >= a) & (qs < a + 512)
-                    block = np.zeros((min(512, len(queries) - a), len(vocabulary)))
-                    np.add.at(block, (qs[take] - a, ws[take].astype(int)), vs[take])
-                    out += _best(block @ tf.T, queries[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, 0.0)
+                            tf[j, i] = c
+                tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / (average or 1.0)))
+                if blocks is None:  # once a task, but for query sets so large that they are made anew
+                    blocks = list(parts(entries)) if len(queries) * len(vocabulary) < 50_000_000 else None
+                for a, words, block in blocks or parts(entries):
+                    out += _best(block @ tf[words], queries[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, 0.0)
             yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
     return spread(tokens).mapInPandas(score, RANKED)
@@ -114,16 +130,19 @@ def word_weights(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
 
 def rm3(items: DataFrame, queries: DataFrame, docs: int = 10, words: int = 10, original: float = 0.5) -> DataFrame:
     """Query expansion by a relevance model: (query_id, word, weight) of the best words of the best items, mixed with the query's own."""
-    first = materialize(bm25(items, word_weights(queries), docs))
-    share = F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))
-    top = first.select("query_id", "item_id", share.alias("share")).join(items.select("item_id", "text"), "item_id")
-    tokens = T.tokens(F.col("text"))
-    each = top.select("query_id", "share", F.size(tokens).alias("n"), F.explode(tokens).alias("word"))
+    tokens = items if "words" in items.columns else tokenized(items)
+    first = materialize(bm25(tokens, word_weights(queries), docs))
+    whole = first.groupBy("query_id").agg(F.sum("score").alias("_all"))
+    top = materialize(first.join(whole, "query_id").select("query_id", "item_id", (F.col("score") / F.col("_all")).alias("share")))
+    each = top.join(tokens.select("item_id", "words"), "item_id").select("query_id", "share", F.size("words").alias("n"), F.explode("words").alias("word"))
     model = each.groupBy("query_id", "word").agg(F.sum(F.col("share") / F.col("n")).alias("rel"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("rel", 12)), "word")
-    model = model.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= words)
-    model = model.select("query_id", "word", ((1 - original) * F.col("rel") / F.sum("rel").over(Window.partitionBy("query_id"))).alias("weight"))
-    own = word_weights(queries).select("query_id", "word", (F.lit(original) / F.count("*").over(Window.partitionBy("query_id"))).alias("weight"))
+    model = materialize(model.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= words).drop("_r"))
+    total = model.groupBy("query_id").agg(F.sum("rel").alias("_all"))
+    model = model.join(total, "query_id").select("query_id", "word", ((1 - original) * F.col("rel") / F.col("_all")).alias("weight"))
+    asked = materialize(word_weights(queries).select("query_id", "word"))
+    count = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
+    own = asked.join(count, "query_id").select("query_id", "word", (F.lit(original) / F.col("_n")).alias("weight"))
     return own.unionByName(model).groupBy("query_id", "word").agg(F.sum("weight").alias("weight"))
 
 

@@ -68,6 +68,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_bm25(spark, d))
 
 
+def bm25_rm3(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking by queries that a relevance model of their first ten chunks has widened."""
+    tokens = R.tokenized(_items(spark, d))
+    asked = questions(spark, d).select("query_id", F.col("question").alias("text"))
+    return _shown(R.bm25(tokens, R.rm3(tokens, asked)))
+
+
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_knn(spark, d))
 
@@ -181,6 +188,11 @@ round(coalesce(list_sum([1 / log2(r + 1) FOR r IN list_distinct(list(rank))]), 0
 SQL = {
     "bm25_idf": f"WITH {_ITEMS}, n AS (SELECT count(*) AS n FROM items) SELECT w AS word, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS w FROM items) GROUP BY 1), n",
     "bm25_topk": f"WITH {_BM} SELECT query_id, item_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 10",
+    "bm25_rm3": f"""WITH {_BM}, top AS (SELECT query_id, item_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM bm WHERE rank <= 10),
+        rel AS (SELECT query_id, w, rel FROM (SELECT query_id, w, sum(share * c / l) AS rel FROM top JOIN tf USING (item_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 12) DESC, w) <= 10),
+        nw AS (SELECT query_id, w, sum(x) AS x FROM (SELECT query_id, w, 0.5 / count(*) OVER (PARTITION BY query_id) AS x FROM qw UNION ALL SELECT query_id, w, 0.5 * rel / sum(rel) OVER (PARTITION BY query_id) FROM rel) GROUP BY ALL),
+        s AS (SELECT query_id, item_id, tie, round(sum(x * ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.5 / (c + 1.5 * (0.7 + 0.3 * l / a))), 9) AS score FROM nw JOIN tf USING (w) JOIN df USING (w), n GROUP BY ALL)
+        SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie, item_id) AS INT) AS rank, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "knn_exact": f"WITH {_KN} SELECT query_id, item_id, rank, round(score, 6) AS score FROM kn WHERE rank <= 10",
     "rrf_fuse": f"""WITH {_BM}, {_KN}, u AS (SELECT query_id, item_id, rank, 0 AS src FROM bm WHERE rank <= 100 UNION ALL SELECT query_id, item_id, rank, 1 FROM kn),
         f AS (SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank * 10 + src) AS b FROM u GROUP BY ALL)
@@ -201,4 +213,4 @@ SQL = {
         SELECT corpus_version, count(*) AS vectors, count(*) FILTER (whole AND l = 64 AND s > 0 AND isfinite(s)) AS usable, count(*) FILTER (whole AND l = 64 AND abs(s - 1) <= 1e-4) AS of_unit_length FROM m GROUP BY 1""",
     "intrusions": f"WITH {_BM}, {_KN}, {_PATHS}, {_GOLD}, {_WAYS} SELECT item_id, count(*) AS queries FROM bm JOIN paths USING (item_id) WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM ways w WHERE w.query_id = bm.query_id AND w.path = paths.path) GROUP BY 1 HAVING count(*) >= 8",
 }
-QUERIES = {q.__name__: q for q in (bm25_idf, bm25_topk, knn_exact, rrf_fuse, rerank_head, fallback_leg, interleaved, shortcut, retrieval_metrics, metrics_by_slice, metrics_at_k, run_agreement, vector_guard, intrusions, adoption)}
+QUERIES = {q.__name__: q for q in (bm25_idf, bm25_topk, bm25_rm3, knn_exact, rrf_fuse, rerank_head, fallback_leg, interleaved, shortcut, retrieval_metrics, metrics_by_slice, metrics_at_k, run_agreement, vector_guard, intrusions, adoption)}

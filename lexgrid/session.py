@@ -92,5 +92,5 @@ def spread(df: DataFrame) -> DataFrame:
     shuffled = plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec"
     if not shuffled and plan.outputPartitioning().numPartitions() >= 2 * cores:
         return df
-    size = float(execution.optimizedPlan().stats().sizeInBytes().toString())
+    size = float(str(execution.optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(3 * cores, min(math.ceil(size / PARTITION_BYTES), PARTITIONS_A_CORE * cores)))
