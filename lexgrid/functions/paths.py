@@ -72,6 +72,6 @@ def label(path: Column, title: Column) -> Column:
 
 
 def breadcrumb(numeral: Column, chapter: Column, path: Column, title: Column) -> Column:
-    """Chapter and citation, one line each, for what a chunk is embedded and indexed with."""
-    chapter_line = F.when(numeral.isNotNull(), F.concat_ws(" — ", F.concat(F.lit("Chapter "), numeral), chapter))
-    return F.concat_ws("\n", chapter_line, label(path, title))
+    """Chapter and citation, for what a chunk is embedded and indexed with."""
+    chapter_line = F.when(numeral != "", F.concat_ws(" — ", F.concat(F.lit("Chapter "), numeral), chapter))
+    return F.concat_ws(" / ", chapter_line, label(path, title))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,30 @@ def normalise(text: Column) -> Column:
     return F.translate(text, " ­", " ")
 
 
+#: Signs whose full case folding has letters of tokens that lower case does not give, by the rule of Unicode: ß, ligatures, the long s and their like.
+FOLDS = {"İ": "i̇"} | {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c.lower() and re.search("[a-z0-9]", c.casefold())}
+
+
 def folded(text: Column) -> Column:
-    """Lower case as far as tokens need it."""
-    return F.lower(F.replace(F.replace(normalise(text), F.lit("ß"), F.lit("ss")), F.lit("İ"), F.lit("i̇")))
+    """Case folding as far as tokens need it."""
+    return F.lower(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(FOLDS[c])), FOLDS, normalise(text)))
+
+
+def folded_sql(text: str) -> str:
+    """The same as SQL."""
+    return "lower(" + "replace(" * len(FOLDS) + text + "".join(f", '{c}', '{f}')" for c, f in FOLDS.items()) + ")"
+
+
+#: What stands at the head or foot of pages and is no text of the document: whole lines, and how lines begin.
+FURNITURE = ["Income Tax Department", "Ministry of Finance, Government of India"]
+FURNITURE_STARTS = ["Downloaded/Printed on"]
+
+
+def is_furniture(line: Column, whole: list[str] | None = None, starts: list[str] | None = None) -> Column:
+    """Whether a line belongs to the page and not to its text; null for null. Other documents bring their own lists."""
+    own = F.trim(F.replace(normalise(line), F.lit("\t"), F.lit(" ")))
+    begins = [own.startswith(s) for s in (FURNITURE_STARTS if starts is None else starts)]
+    return reduce(lambda x, y: x | y, begins, own.isin(FURNITURE if whole is None else whole))
 
 
 def tokens(text: Column) -> Column:

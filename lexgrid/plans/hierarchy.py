@@ -67,6 +67,11 @@ WITH RECURSIVE n AS (
 
 QUERIES = {"p5_found": p5_found, "p5_tree": p5_tree, "p5_descendants": p5_descendants}
 SQL = {
+    "p5_tree": _SQL + """, d AS (SELECT v, line[k] AS id, count(*) AS n FROM (SELECT *, unnest(generate_series(1, depth - 1)) AS k FROM t WHERE depth > 1) GROUP BY ALL), every AS (
+        SELECT v, id, CASE WHEN depth = 1 THEN 'root' ELSE 'tree' END AS status, root, depth, path, false AS back_edge FROM t
+        UNION ALL SELECT v, id, 'no_root', NULL, NULL, NULL, false FROM lost
+        UNION ALL SELECT v, id, issue, NULL, NULL, NULL, issue = 'cycle' AND id = (SELECT min(up.at) FROM up WHERE up.v = looped.v AND up.start = looped.id) FROM looped)
+        SELECT v AS corpus_version, id AS chunk_id, status, root AS root_id, depth, path, coalesce(n, 0) AS descendants, back_edge FROM every LEFT JOIN d USING (v, id)""",
     "p5_found": _SQL + "SELECT id AS chunk_id, issue FROM looped UNION ALL SELECT id, 'no_root' FROM lost UNION ALL SELECT id, 'moved' FROM t WHERE path <> np",
     "p5_descendants": _SQL + "SELECT v AS corpus_version, line[k] AS chunk_id, id AS descendant_id, CAST(depth - k AS INT) AS distance FROM t, generate_series(1, depth - 1) g(k)",
 }

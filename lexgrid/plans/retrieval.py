@@ -164,8 +164,8 @@ def adoption(spark: SparkSession, d: str) -> DataFrame:
 
 
 _N = "translate({x}, chr(160) || chr(173), ' ')"
-_T = "regexp_extract_all(lower(replace(replace(" + _N + ", 'ß', 'ss'), 'İ', 'i̇')), '[a-z0-9]+')"
-_CRUMB = "concat_ws(chr(10), CASE WHEN chapter_numeral IS NOT NULL THEN concat_ws(' — ', 'Chapter ' || chapter_numeral, chapter_title) END, concat_ws(' — ', CASE WHEN node_path LIKE 'Schedule%' THEN node_path ELSE 'Section ' || node_path END, root_title), text)"
+_T = "regexp_extract_all(" + T.folded_sql(_N) + ", '[a-z0-9]+')"
+_CRUMB = "concat_ws(chr(10), concat_ws(' / ', CASE WHEN chapter_numeral <> '' THEN concat_ws(' — ', 'Chapter ' || chapter_numeral, chapter_title) END, concat_ws(' — ', CASE WHEN node_path LIKE 'Schedule%' THEN node_path ELSE 'Section ' || node_path END, root_title)), text)"
 _ITEMS = f"""items AS MATERIALIZED (SELECT chunk_id AS item_id, ordinal AS tie, {_T.format(x=_CRUMB)} AS words FROM {CHUNKS})"""
 _BM = f"""{_ITEMS}, n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM items), tok AS MATERIALIZED (SELECT item_id, tie, len(words) AS l, unnest(words) AS w FROM items),
 tf AS MATERIALIZED (SELECT item_id, tie, l, w, count(*) AS c FROM tok GROUP BY ALL), df AS (SELECT w, count(*) AS d FROM tf GROUP BY w),

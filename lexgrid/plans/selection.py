@@ -10,11 +10,14 @@ from ..functions import text as T
 from ..operators import selection as X
 from ..operators import sequences as S
 from ..sources.tables import once, table
-from . import retrieval
+from . import grounding, retrieval
 from .corpus import CHUNKS, chunks
 
 NEGATIVE, AFFIRMATIVE = r"(?i)\b(?:shall not|need not|may not|cannot|must not)\b", r"(?i)\b(?:shall|must|may|is entitled to|is required to)\b"
 
+#: What is no text of its own in these documents: whole lines, and how lines begin.
+FURNITURE, STARTS = ["TABLE"], ["Sl. No. |"]
+
 
 def subtree_layout(spark: SparkSession, d: str) -> DataFrame:
     """Where each chunk's text begins and ends in the text of its root's subtree, joined by new lines in document order; empty texts are skipped."""
@@ -56,6 +59,37 @@ def miss_causes(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(above, ["query_id", "required"], "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("wanted"))
 
 
+def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents that belong to a page's head or foot, by the lists of this corpus, which name the heads of its tables."""
+    lines = S.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return lines.filter(T.is_furniture(F.col("line"), FURNITURE, STARTS)).select("doc_id", "line_no")
+
+
+def root_shares(spark: SparkSession, d: str) -> DataFrame:
+    """In what share of the root chunks each glossary term stands, with all its words in a row."""
+    terms = grounding.glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words"))
+    terms = terms.withColumn("first", F.try_element_at("words", F.lit(1)))
+    roots = chunks(spark, d, "node_path", "text").filter(~F.col("node_path").contains("(")).select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("all"))
+    n = roots.agg(F.count("*").alias("roots"))
+    hit = roots.select("chunk_id", "all", F.explode(F.array_distinct("all")).alias("first")).join(terms, "first").filter(T.has_phrase(F.col("all"), F.col("words"))).groupBy("term").agg(F.count("*").alias("hits"))
+    each = terms.select("term").join(hit, "term", "left").join(F.broadcast(n))  # one row
+    return each.select("term", F.round(F.coalesce("hits", F.lit(0)) / F.col("roots"), 6).alias("share"))
+
+
+def fold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The retrieval metrics of the two folds of questions with gold, by the parity of their numbers."""
+    scores = retrieval.retrieval_metrics(spark, d)
+    fold = F.when(F.regexp_extract("query_id", "([0-9]+)$", 1).cast("bigint") % 2 == 0, "even").otherwise("odd")
+    return scores.groupBy(fold.alias("fold")).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+def outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Live chunks of more than 500 tokens, and why they are that long: damaged trees first, then roots, then nodes between."""
+    c = chunks(spark, d, "parent_id", "node_path", "text").withColumn("tokens", T.token_estimate(F.coalesce("text", F.lit(""))))
+    reason = F.when(P.parts(F.col("node_path")).isNull(), "untrusted").when(F.coalesce(F.trim("parent_id"), F.lit("")) == "", "root").otherwise("between")
+    return c.filter("tokens > 500").select("chunk_id", "tokens", reason.alias("reason"))
+
+
 def fact_checks(spark: SparkSession, d: str) -> DataFrame:
     """The first check that each fact of the labelled turns fails, or none."""
     turns = once(table(spark, d, "labelled_turns", "turn_id", "turn", "facts"), ["turn_id"])
@@ -88,6 +122,9 @@ _R = retrieval
 _MONEY = r"'^\s*(-?)\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(lakh|crore|cr|k)?(?:\s*rupees)?\s*$'"
 SQL = {
     "subtree_layout": f"SELECT chunk_id, root, s AS char_start, s + n AS char_end FROM (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY corpus_version, root ORDER BY ordinal, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT chunk_id, corpus_version, {_ROOT} AS root, ordinal, length(text) AS n FROM {CHUNKS} WHERE {_VALID} AND length(text) > 0))",
+    "furniture_lines": f"SELECT doc_id, line_no FROM {_LINES}, (SELECT 1) WHERE trim(replace(translate(line, chr(160) || chr(173), ' '), chr(9), ' ')) IN ({', '.join(repr(x) for x in FURNITURE)}) OR {' OR '.join(f'starts_with(trim(replace(translate(line, chr(160) || chr(173), {chr(39)} {chr(39)}), chr(9), {chr(39)} {chr(39)})), {x!r})' for x in STARTS)}",
+    "fold_metrics": _R._MET + " SELECT CASE WHEN CAST(regexp_extract(query_id, '([0-9]+)$', 1) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS fold, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM met GROUP BY 1",
+    "outliers": rf"SELECT chunk_id, CAST(t AS INT) AS tokens, CASE WHEN NOT coalesce({_VALID}, false) THEN 'untrusted' WHEN coalesce(trim(parent_id), '') = '' THEN 'root' ELSE 'between' END AS reason FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]')) AS t FROM {CHUNKS}) WHERE t > 500",
     "heading_probe": rf"SELECT doc_id, line_no, concat_ws(',', CASE WHEN regexp_matches(line, '^[A-Z][A-Z .]{{3,}}$') THEN 'capitals' END, CASE WHEN regexp_matches(line, '^\([0-9]+\) ') THEN 'number' END, CASE WHEN line LIKE 'Q:%' THEN 'question' END) AS cues FROM {_LINES} WHERE cues <> ''",
     "table_cells": f"""SELECT doc_id, line_no, CAST(generate_subscripts(c, 1) - 1 AS INT) AS "column", unnest(c) AS cell FROM (SELECT doc_id, line_no, string_split(line, ' | ') AS c FROM {_LINES} WHERE contains(line, ' | '))""",
     "modal_lines": rf"SELECT corpus_version, count(*) FILTER (n) AS negative, count(*) FILTER (a AND NOT n) AS affirmative FROM (SELECT corpus_version, regexp_matches(text, '(?i)\b(?:shall not|need not|may not|cannot|must not)\b') AS n, regexp_matches(text, '(?i)\b(?:shall|must|may|is entitled to|is required to)\b') AS a FROM {CHUNKS} WHERE text IS NOT NULL) GROUP BY 1",
@@ -103,4 +140,4 @@ SQL = {
     "merged_titles": f"WITH c AS (SELECT corpus_version, section_number, min(root_title) AS r, min(chapter_title) AS t FROM {CHUNKS} WHERE section_number IS NOT NULL GROUP BY ALL) SELECT corpus_version, section_number, coalesce(r, t) AS title, CASE WHEN r IS NOT NULL THEN 0 ELSE 1 END AS source FROM c WHERE coalesce(r, t) IS NOT NULL",
     "event_rates": "SELECT event_type, count(*) AS rows, round(count(*) FILTER (value > 50) / nullif(count(value), 0), 6) AS large, round(count(*) FILTER (user_id < 100) / count(*), 6) AS of_low_users FROM events GROUP BY 1",
 }
-QUERIES = {q.__name__: q for q in (subtree_layout, heading_probe, table_cells, modal_lines, miss_causes, fact_checks, merged_titles, event_rates)}
+QUERIES = {q.__name__: q for q in (subtree_layout, furniture_lines, root_shares, fold_metrics, outliers, heading_probe, table_cells, modal_lines, miss_causes, fact_checks, merged_titles, event_rates)}

@@ -91,7 +91,7 @@ def stub_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _N = "translate(text, chr(160) || chr(173), ' ')"
-_T = "regexp_extract_all(lower(replace(replace({x}, 'ß', 'ss'), 'İ', 'i̇')), '[a-z0-9]+')"
+_T = "regexp_extract_all(" + T.folded_sql("{x}") + ", '[a-z0-9]+')"
 _TOK = _T.format(x=_N)
 _QTOK = _T.format(x="translate(question, chr(160) || chr(173), ' ')")
 _EST = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]'))"
@@ -118,7 +118,7 @@ SQL = {
         CASE WHEN a <> '' AND (CAST(a AS INT) + 1) % 100 = CAST(b AS INT) THEN a || '-' || b END AS tax_year FROM q""",
     "content_words": rf"SELECT query_id, coalesce(array_to_string(list_sort(list_filter(list_distinct({_T.format(x=chr(114) + 'egexp_replace(translate(question, chr(160) || chr(173), ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + chr(92) + '[[^' + chr(92) + ']' + chr(92) + 'n]{1,12}' + chr(92) + ']' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), lambda x: x NOT IN ({_STOP}))), ' '), '') AS words FROM {QUESTIONS}",
     "chunk_ids": f"SELECT chunk_id, left(sha256(corpus_version || chr(0) || node_path || chr(0) || translate(coalesce(text, ''), chr(160) || chr(173), ' ')), 16) AS derived FROM {CHUNKS}",
-    "breadcrumbs": f"SELECT chunk_id, concat_ws(chr(10), CASE WHEN chapter_numeral IS NOT NULL THEN concat_ws(' — ', 'Chapter ' || chapter_numeral, chapter_title) END, concat_ws(' — ', CASE WHEN node_path LIKE 'Schedule%' THEN node_path ELSE 'Section ' || node_path END, root_title)) AS breadcrumb FROM {CHUNKS}",
+    "breadcrumbs": f"SELECT chunk_id, concat_ws(' / ', CASE WHEN chapter_numeral <> '' THEN concat_ws(' — ', 'Chapter ' || chapter_numeral, chapter_title) END, concat_ws(' — ', CASE WHEN node_path LIKE 'Schedule%' THEN node_path ELSE 'Section ' || node_path END, root_title)) AS breadcrumb FROM {CHUNKS}",
     "path_algebra": rf"""SELECT chunk_id, CAST(CASE WHEN {_VALID} THEN 1 + len(b) ELSE NULL END AS INT) AS depth, CASE WHEN {_VALID} AND len(b) > 0 THEN {_ROOT} || array_to_string(b[:-2], '') END AS above, CASE WHEN {_VALID} THEN {_ROOT} END AS root, CASE WHEN {_VALID} THEN len(b) > 5 END AS too_deep
         FROM (SELECT chunk_id, node_path, regexp_extract_all(node_path, '\([0-9A-Za-z]+\)') AS b FROM {CHUNKS})""",
     "canonical_paths": r"""SELECT ref_id, p AS path FROM (SELECT ref_id, regexp_replace(regexp_replace(regexp_replace(min(target_path), '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g'), '^(?i:sections?|sec\.?|s\.|u/s\.?)[\s\x0b\p{Z}]*', ''), '[\s\x0b\p{Z}]+\(', '(', 'g') AS p FROM cross_references GROUP BY 1) WHERE regexp_matches(p, '^(Schedule [IVXLC]+|[0-9]{1,3}[A-Z]{0,3})(\([0-9A-Za-z]+\))*$')""",

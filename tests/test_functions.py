@@ -84,3 +84,26 @@ def test_arithmetic(text, want):
 def test_outline():
     got = C.outline("(1) x\n(a) y\n(b) z\n(i) roman\n(ii) two\n(2) next\n(zz) no\n(1) again")
     assert [(o["path"], o["anomaly"]) for o in got] == [("(1)", None), ("(1)(a)", None), ("(1)(b)", None), ("(1)(b)(i)", None), ("(1)(b)(ii)", None), ("(2)", None), (None, "not_a_marker"), (None, "not_a_marker")]
+
+
+def test_case_folding_of_every_sign_as_far_as_tokens_show_it(spark):
+    import re
+
+    signs = [c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c not in "\xad\xa0"]
+    lines = ["".join(f"{c}x\n" for c in signs[i : i + 500]) for i in range(0, len(signs), 500)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "i int, t string").orderBy("i").select(T.tokens(F.col("t"))).collect()]
+    assert got == [re.findall("[a-z0-9]+", t.casefold()) for t in lines]
+
+
+def test_furniture(spark):
+    lines = ["Income Tax Department", " Ministry of Finance,\xa0Government of India ", "Downloaded/Printed on 3 May", "The Income Tax Department", "Income\xad Tax Department", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(T.is_furniture(F.col("t"))).collect()] == [True, True, True, False, True, False, None]
+    assert [r[0] for r in df.select(T.is_furniture(F.col("t"), ["x"], [])).collect()] == [False] * 6 + [None]
+
+
+def test_breadcrumbs(spark):
+    rows = [("I", "Levies", "5(1)", "Rates"), ("I", None, "5", None), (None, "Levies", "Schedule II(1)", "Rates"), ("", "Levies", "5", "Rates")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, c string, p string, t string").orderBy("i")
+    got = [r[0] for r in df.select(P.breadcrumb(F.col("n"), F.col("c"), F.col("p"), F.col("t"))).collect()]
+    assert got == ["Chapter I — Levies / Section 5(1) — Rates", "Chapter I / Section 5", "Schedule II(1) — Rates", "Section 5 — Rates"]
