@@ -41,7 +41,9 @@ from ..session import materialize
 #: Rows of one or three numbers: some 50 MB at most.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a block where all of one block are compared with all of another.
-BLOCK = 16_384
+BLOCK = 65_536
+#: Chunk rows compared at a time within a block.
+STRIP = 16_384
 #: Random directions of which a level takes one.
 CHOICE = 16
 #: Trees of more than FLAT levels have MORE further probes for each level beyond, since each split parts some neighbours.
@@ -337,21 +339,31 @@ def _exact_block(table: pa.Table, asked: np.ndarray, chunks: np.ndarray, at_leas
     exact[rows] = x
     single = exact.astype(np.float32)
     asked, chunks = asked[~np.isnan(exact[asked, 0])], chunks[~np.isnan(exact[chunks, 0])]
+    text = key.astype(str)
+    _, code = np.unique(text, return_inverse=True)
+    sorted_chunks = chunks[np.argsort(code[chunks], kind="stable")]
+    codes = code[sorted_chunks]
     for s in range(0, len(asked) if len(chunks) else 0, 512):
         some = asked[s : s + 512]
-        sims = single[some] @ single[chunks].T
-        own = (kind[some] == "c")[:, None] & (key[some][:, None] == key[chunks])
-        sims[own] = -2
-        least = np.partition(sims, -k, axis=1)[:, -k, None] if len(chunks) > k else -2
-        i, j = np.nonzero((sims >= np.maximum(least, at_least) - 1e-5) & (sims > -1.5))
-        score = np.round((exact[some[i]] * exact[chunks[j]]).sum(1), 12)
+        least, found = np.full(len(some), max(at_least, -1.0), np.float32), []
+        for c in range(0, len(chunks), STRIP):
+            strip = sorted_chunks[c : c + STRIP]
+            sims = single[some] @ single[strip].T
+            for r in np.flatnonzero(kind[some] == "c"):  # a vector is no neighbour of itself: its key's chunks lie side by side
+                lo, hi = np.searchsorted(codes[c : c + STRIP], (code[some[r]], code[some[r]] + 1))
+                sims[r, lo:hi] = -2
+            if len(strip) > k and not c:  # what comes later has to be as near as the k best of the first strip
+                least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+            i, j = np.nonzero(sims >= least[:, None] - 1e-5)
+            found.append((i, strip[j]))
+        i, other = (np.concatenate(v) for v in zip(*found))
+        score = np.round((exact[some[i]] * exact[other]).sum(1), 12)
         keep = score >= at_least
-        i, j, score = i[keep], j[keep], score[keep]
-        order = np.lexsort((key[chunks[j]].astype(str), -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        top = rank < k
-        a, b = some[i[top]], chunks[j[top]]
+        i, other, score = i[keep], other[keep], score[keep]
+        order = np.lexsort((code[other], -score, i))
+        i, other, score = i[order], other[order], score[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        a, b = some[i[top]], other[top]
         yield pa.RecordBatch.from_arrays([pa.array(kind[a], pa.string()), pa.array(key[a], pa.string()), pa.array(key[b], pa.string()), pa.array(score[top])], names=["kind", "a", "b", "cosine"])
 
 
