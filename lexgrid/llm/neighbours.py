@@ -9,8 +9,8 @@ A code lies within a known angle of its vector: at most asin(sqrt(dim) / 2 / len
 room for a cosine of `at_least`, or for a place among the row's k nearest of that leaf. What is left is reranked with exact cosines. Where codes can't
 choose, because rows have many more candidates than k in a leaf, the exact vectors of the whole leaf are compared instead.
 
-With complete=True, rows that the forest gave fewer than k neighbours (those with few vectors as near as `at_least`) are compared with all
-chunk vectors exactly, block by block: isolated vectors have no neighbourhood that an index could bound, so this takes rows x chunks.
+Rows that are asked for in full (`complete`) and that the forest gave fewer than k neighbours, having few vectors as near as `at_least`, are compared with all
+chunk vectors exactly, block by block: isolated vectors have no neighbourhood that an index could bound, so this takes such rows x chunks.
 
 Only codes (six bits a dimension) travel to the leaves, once to each subtree in which a vector has leaves; exact vectors are read again for candidates alone. The forest is fitted on `sample` vectors
 at most (the index holds every vector), so a tree has at most sample / 4 leaves; beyond that leaves grow, and a leaf that the sample shows to be
@@ -33,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -399,19 +399,25 @@ def _against_all(vectors: DataFrame, asked: DataFrame, count: int, n: int, k: in
     return found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def _asked(raw: DataFrame, classes: DataFrame, complete: Column) -> DataFrame:
+    """(kind, key) of the representatives of the classes in which a row is asked for."""
+    wanted = raw.filter(complete).select("kind", "h1", "h2").distinct()
+    return classes.join(wanted, ["kind", "h1", "h2"], "left_semi").select("kind", "key")
+
+
 def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 12)
 
 
 def nearest(
-    chunks: DataFrame, questions: DataFrame | None = None, k: int = 10, at_least: float = 0.9, complete: bool = False, dim: int = 64,
+    chunks: DataFrame, questions: DataFrame | None = None, k: int = 10, at_least: float = 0.9, complete: Column | None = None, dim: int = 64,
     trees: int = 3, probes: int = 8, leaf_size: int = 512, sample: int = 262_144,
 ) -> DataFrame:
     """chunks(key, vector), questions(key, vector) -> (kind, key, neighbour, cosine, rank).
 
     kind is c where the row's vector is a chunk's and q where it is a question's; neighbours are chunks; rank counts from 1.
-    The forest returns neighbours of cosine `at_least`; with complete=True all k of every row come out, however far they are.
+    The forest returns neighbours of cosine `at_least`; rows for which `complete`, a condition on kind and key, holds have all k, however far they are.
     """
     parts = [df.select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), F.col("vector").cast("array<float>").alias("vector")) for kind, df in (("c", chunks), ("q", questions)) if df is not None]
     raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -442,10 +448,10 @@ def nearest(
     directed = ranked.unionByName(ranked.filter("kind = 'c'").select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     if not crowded.isEmpty():
         directed = materialize(directed.unionByName(_crowded(raw, crowded, place, at_least, k + 1, dim)).distinct())
-    if complete:
+    if complete is not None:
         vectors = _vectors(raw, dim)
         have = directed.groupBy("kind", F.col("a").alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-        rest = materialize(classes.select("kind", "key").join(have, ["kind", "key"], "left_anti"))
+        rest = materialize(_asked(raw, classes, complete).join(have, ["kind", "key"], "left_anti"))
         directed = directed.unionByName(_against_all(materialize(vectors.select("kind", "key", "vector")), rest, rest.count(), n, k + 1, dim)).distinct()
 
     # classes of copies: the first k + 1 keys of a class stand for it as neighbours, each member is a row of its own

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrid.llm import neighbours as N
 
@@ -94,7 +95,7 @@ def test_complete_has_ten_of_every_vector(spark, monkeypatch):
     x = clustered(7, groups=20, each=14, alone=300)
     keys = [f"{i:05}" for i in range(len(x))]
     want = brute(keys, x, [*keys, "q"], [*x, -x[0]], least=-2)
-    got = {(r["key"], r["neighbour"]): r["rank"] for r in N.nearest(table(spark, keys, x), table(spark, ["q"], [-x[0]]), complete=True, leaf_size=64).collect()}
+    got = {(r["key"], r["neighbour"]): r["rank"] for r in N.nearest(table(spark, keys, x), table(spark, ["q"], [-x[0]]), complete=F.lit(True), leaf_size=64).collect()}
     assert len(want) == len(got) == 10 * (len(x) + 1) and len(want.keys() & got.keys()) >= 0.995 * len(want)
 
 
