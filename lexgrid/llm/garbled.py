@@ -419,7 +419,8 @@ UNDOUBTED = {c for c in CHANNELS if c.startswith("utf_8|") and not c.endswith("c
 
 PLACE = {c: i for i, c in enumerate(CHANNELS)}
 
-GAINS = "channels array<int>, gains array<double>, reads array<string>"
+#: Per stretch: channels, what each gains, the place of its reading in reads.
+GAINS = "channels array<smallint>, gains array<float>, places array<smallint>, reads array<string>"
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -462,20 +463,21 @@ def _scored(made: DataFrame, counts: DataFrame, signs: Broadcast, total: int, le
                     for read in filled(key, words):
                         readings.setdefault(read, []).append(PLACE["lost"])
                 found = sorted(scorer.gains(key, readings, n).items())
-                rows.append((key, [c for c, _ in found], [g for _, (g, _) in found], [r for _, (_, r) in found]))
-            yield pd.DataFrame(rows, columns=["key", "channels", "gains", "reads"])
+                place = {r: i for i, r in enumerate(dict.fromkeys(r for _, (_, r) in found))}
+                rows.append((key, [c for c, _ in found], [g for _, (g, _) in found], [place[r] for _, (_, r) in found], list(place)))
+            yield pd.DataFrame(rows, columns=["key", "channels", "gains", "places", "reads"])
 
     return spread(whole).mapInPandas(run, f"key string, {GAINS}")
 
 
 def _with_gains(texts: DataFrame, keys: DataFrame, scored: DataFrame) -> DataFrame:
     """texts(k, t), keys(k, key), scored -> (k, t, found ARRAY): each text with the gains of its stretches."""
-    of = keys.join(scored, "key").groupBy("k").agg(F.collect_list(F.struct("key", "channels", "gains", "reads")).alias("found"))
+    of = keys.join(scored, "key").groupBy("k").agg(F.collect_list(F.struct("key", "channels", "gains", "places", "reads")).alias("found"))
     return texts.join(of, "k", "left")
 
 
 def _gains_of(found) -> dict[str, dict[int, tuple[float, str]]]:
-    return {x["key"]: {int(c): (float(g), r) for c, g, r in zip(x["channels"], x["gains"], x["reads"])} for x in found} if found is not None else {}
+    return {x["key"]: {int(c): (float(g), x["reads"][i]) for c, g, i in zip(x["channels"], x["gains"], x["places"])} for x in found} if found is not None else {}
 
 
 def repair(texts: DataFrame, key: str, column: str, least: float = 2e-6) -> DataFrame:
