@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import text as T
+from ..session import materialize
 
 
 def nearest_ancestor(citations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,3 +99,18 @@ def banded(amount: Column, bands: list[tuple[float, float | None, float]]) -> Co
         each = (part(lo, hi) * F.lit(rate).cast("decimal(7,4)") * F.lit("0.01").cast("decimal(4,2)")).cast("decimal(20,4)")
         total = each if total is None else (total + each).cast("decimal(20,4)")
     return total
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts(words ARRAY, ...), phrases(words ARRAY, ...) -> one row for each text and phrase in it: the columns of both but for the words.
+
+    A phrase is looked up by its first word. Only numbers, words and phrases take part in that lookup: the texts come in once more for the pairs it finds, so
+    no side of a join holds a text's words once a word. Phrases without words are in no text.
+    """
+    rest = [c for c in texts.columns if c != "words"]
+    stored = materialize(texts.withColumnRenamed("words", "_all").withColumn("_text", F.monotonically_increasing_id()))
+    sought = materialize(phrases.withColumn("_first", F.try_element_at("words", F.lit(1))).filter("_first is not null"))
+    firsts = stored.select("_text", F.explode(F.array_distinct("_all")).alias("_first"))
+    pairs = firsts.join(sought, "_first").drop("_first")
+    hit = stored.join(pairs, "_text").filter(T.has_phrase(F.col("_all"), F.col("words")))
+    return hit.select(*rest, *[c for c in phrases.columns if c != "words"])

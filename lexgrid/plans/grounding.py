@@ -68,10 +68,9 @@ def glossary(spark: SparkSession, d: str) -> DataFrame:
 
 def terms_in(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by glossary terms that they hold; a term is found by its first word, then by its whole."""
-    terms = glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words"), F.try_element_at(T.tokens(F.col("term")), F.lit(1)).alias("first"))
-    c = chunks(spark, d, "text").select("chunk_id", T.tokens(F.col("text")).alias("all")).filter("all is not null")
-    each = c.select("chunk_id", "all", F.explode(F.array_distinct("all")).alias("first")).join(terms, "first")
-    return each.filter(T.has_phrase(F.col("all"), F.col("words"))).groupBy("term").agg(F.count("*").alias("chunks"))
+    terms = glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words"))
+    texts = chunks(spark, d, "text").select(T.tokens(F.col("text")).alias("words")).filter("words is not null")
+    return J.phrase_hits(texts, terms).groupBy("term").agg(F.count("*").alias("chunks"))
 
 
 def _lead_ins(c: DataFrame, above: DataFrame) -> DataFrame:
