@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators import joins as J
 from ..operators import selection as X
 from ..operators import sequences as S
+from ..session import materialize
 from ..sources.tables import once, table
 from . import grounding, retrieval
 from .corpus import CHUNKS, chunks
@@ -67,11 +69,10 @@ def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def root_shares(spark: SparkSession, d: str) -> DataFrame:
     """In what share of the root chunks each glossary term stands, with all its words in a row."""
-    terms = grounding.glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words"))
-    terms = terms.withColumn("first", F.try_element_at("words", F.lit(1)))
-    roots = chunks(spark, d, "node_path", "text").filter(~F.col("node_path").contains("(")).select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("all"))
+    terms = materialize(grounding.glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words")))
+    roots = chunks(spark, d, "node_path", "text").filter(~F.col("node_path").contains("("))
     n = roots.agg(F.count("*").alias("roots"))
-    hit = roots.select("chunk_id", "all", F.explode(F.array_distinct("all")).alias("first")).join(terms, "first").filter(T.has_phrase(F.col("all"), F.col("words"))).groupBy("term").agg(F.count("*").alias("hits"))
+    hit = J.phrase_hits(roots.select(T.tokens(F.coalesce("text", F.lit(""))).alias("words")), terms).groupBy("term").agg(F.count("*").alias("hits"))
     each = terms.select("term").join(hit, "term", "left").join(F.broadcast(n))  # one row
     return each.select("term", F.round(F.coalesce("hits", F.lit(0)) / F.col("roots"), 6).alias("share"))
 
