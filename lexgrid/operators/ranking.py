@@ -1,11 +1,12 @@
 """Ranking whole tables of queries against whole tables of items, in blocks.
 
-The items pass through once, batch by batch; each batch is scored against all queries by a matrix product and keeps its
-k best items a query, and the k best of those remain. Nothing but k rows a query and batch is shuffled, so a word that
-stands in every text costs no more than a rare one. The queries travel to the tasks; a query table beyond QUERY_BLOCK rows is
-searched block by block.
+Items are stored in the order of (tie, item_id) with numbers in that order. Each task goes through its share of them once with a block of
+queries and holds the k best (score, number) of each query; from a small first block on, an item is scored in full only if a bound of its score
+reaches the k-th best so far: for BM25 the weights of its words against what the other words can add at most, for cosines a product in single precision.
+No item and no query is left out. What a task found is sent as packed numbers, k a query and task at most, and merged by queries. Queries that ask for the same are
+ranked once. The queries travel to the tasks; a query table beyond QUERY_BLOCK rows is searched block by block.
 
-Every ranking is (query_id, item_id, rank, score); rank counts from 1; scores are compared after rounding to 9 digits, ties
+Every ranking is a stored table (query_id, item_id, rank, score); rank counts from 1; scores are compared after rounding to 9 digits, ties
 go to the smaller tie key and then to the smaller item_id. Empty queries and items without a common word have no rows;
 null texts count as empty ones (and towards the average length).
 """
@@ -13,114 +14,248 @@ null texts count as empty ones (and towards the average length).
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize, spread
+from ..session import forget, materialize
 
 QUERY_BLOCK = 20_000
+#: Rows of the first block of items that a task scores, the factor by which blocks grow, and what a packet holds.
+FIRST, GROWTH, PACKET = 512, 4, 8192
 #: The parameters of BM25.
 K1, B = 1.5, 0.3
-RANKED = "query_id string, item_id string, tie bigint, score double"
-
-
-def _best(scores: np.ndarray, queries: list, items: np.ndarray, ties: np.ndarray, k: int, above: float) -> list[tuple]:
-    """The k best items of each query; scores: (queries, items)."""
-    scores = np.round(scores, 9)
-    out = []
-    kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-    for q, row, least in zip(queries, scores, kth):
-        hit = np.flatnonzero((row >= least) & (row > above))
-        order = sorted(hit.tolist(), key=lambda i: (-row[i], ties[i], items[i]))[:k]
-        out += [(q, items[i], int(ties[i]), float(row[i])) for i in order]
-    return out
-
-
-def rank(scored: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query as a ranking."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "tie", "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "item_id", "rank", "score")
-
-
-def _blocks(rows: list) -> Iterator[list]:
-    for i in range(0, len(rows), QUERY_BLOCK):
-        yield rows[i : i + QUERY_BLOCK]
+#: Rounding to 9 digits, the order of sums and single precision of unit vectors move a score by less.
+SLACK, SINGLE = 1e-8, 1e-5
+PACKED, FOUND = "part int, data binary", "query_id string, _no bigint, rank int, score double"
+
+
+class _Best:
+    """The k best (score, number) of each of n queries, best first; what is missing has the score -inf."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.score, self.no = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, query: np.ndarray, score: np.ndarray, no: np.ndarray) -> None:
+        keep = score >= self.score[query, -1]
+        if not keep.any():
+            return
+        touched, at = np.unique(query[keep], return_inverse=True)
+        k = self.score.shape[1]
+        q = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+        s, n = np.concatenate([self.score[touched].ravel(), score[keep]]), np.concatenate([self.no[touched].ravel(), no[keep]])
+        order = np.lexsort((n, -s, q))
+        take = order[np.searchsorted(q[order], np.arange(len(touched)))[:, None] + np.arange(k)]
+        self.score[touched], self.no[touched] = s[take], n[take]
+
+    def packets(self) -> Iterator[pa.RecordBatch]:
+        n, k = self.score.shape
+        step = max(1, PACKET // k)
+        for i in range(0, n, step):
+            s, no = self.score[i : i + step], self.no[i : i + step]
+            if (s > -np.inf).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // step], pa.int32()), pa.array([s.tobytes() + no.tobytes()], pa.binary())], ["part", "data"])
+
+
+def _merged(packed: DataFrame, names: list[list], k: int) -> DataFrame:
+    """The packets of all tasks as rows; names: the query ids of each place."""
+    sent, step = packed.sparkSession.sparkContext.broadcast(names), max(1, PACKET // k)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["part"].iloc[0]) * step
+        own = sent.value[first : first + step]
+        best, q = _Best(len(own), k), np.repeat(np.arange(len(own)), k)
+        for data in pdf["data"]:
+            half = len(data) // 2
+            s, no = np.frombuffer(data[:half]), np.frombuffer(data[half:], np.int64)
+            real = s > -np.inf
+            best.add(q[real], s[real], no[real])
+        real = best.score > -np.inf
+        many = np.array([len(x) for x in own])[np.nonzero(real)[0]]  # queries that ask for the same
+        pick = lambda a: [x for i in range(len(own)) for _ in own[i] for x in a[i][real[i]].tolist()]
+        ids = [name for i in range(len(own)) for name in own[i] for _ in range(int(real[i].sum()))]
+        assert len(ids) == many.sum()
+        ranks = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), best.score.shape)
+        return pd.DataFrame({"query_id": pd.Series(ids, dtype=object), "_no": np.array(pick(best.no), np.int64), "rank": np.array(pick(ranks), np.int32), "score": np.array(pick(best.score), float)})
+
+    return packed.groupBy("part").applyInPandas(merge, FOUND)
+
+
+def _ranking(items: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Stored, with the items' own ids."""
+    if not found:
+        return items.sparkSession.createDataFrame([], "query_id string, item_id string, rank int, score double")
+    each = found[0]
+    for f in found[1:]:
+        each = each.unionByName(f)
+    return materialize(each.join(items.select("_no", "item_id"), "_no").select("query_id", "item_id", "rank", "score"))
+
+
+def _numbered(items: DataFrame, *columns) -> DataFrame:
+    """A stored table with _no, whose order is that of (tie, item_id)."""
+    return materialize(items.orderBy("tie", "item_id").select("item_id", "tie", *columns, F.monotonically_increasing_id().alias("_no")))
+
+
+def _dealt(items: DataFrame, blocks: int) -> DataFrame:
+    """A stored table in about two shares a core over all blocks of queries, one at least: every share sends k rows a query."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    shares = max(cores, math.ceil(2 * cores / blocks))
+    have = items._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+    return items.coalesce(shares) if have >= 2 * shares else items.repartition(shares)
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows in blocks that grow from FIRST to `most`."""
+    size, held, n = FIRST, [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        while n >= size:
+            whole = pa.Table.from_batches(held)
+            yield whole.slice(0, size).combine_chunks()
+            rest = whole.slice(size)
+            held, n, size = rest.to_batches(), len(rest), min(size * GROWTH, most)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def bm25_statistics(tokens: DataFrame, words: DataFrame | None = None) -> tuple[int, float, dict[str, int]]:
     """Number of items, average length and document frequencies (of words(word) alone if given); tokens(item_id, words ARRAY)."""
     n, average = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
-    each = tokens.select(F.explode(F.array_distinct("words")).alias("word"))
+    each = tokens.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
     if words is not None:
-        each = each.join(words.select("word").distinct(), "word", "left_semi")  # broadcast if its size allows, by the optimizer's own check
-    return n, average or 0.0, {r[0]: r[1] for r in each.groupBy("word").count().collect()}
+        each = each.join(words.select("word").distinct(), "word", "left_semi")
+    return n, average or 0.0, {r[0]: r[1] for r in each.collect()}
 
 
 def tokenized(items: DataFrame, tokenizer=T.tokens) -> DataFrame:
-    """items(item_id, tie, text) -> a stored table (item_id, tie, words), which every pass of a ranking reads."""
-    return materialize(items.select("item_id", "tie", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("words")))
+    """items(item_id, tie, text) -> a stored table (item_id, tie, words, _no), which every pass of a ranking reads."""
+    return _numbered(items, F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("words"))
 
 
 def bm25(items: DataFrame, weights: DataFrame, k: int = 10, k1: float = K1, b: float = B, tokenizer=T.tokens) -> DataFrame:
     """items(item_id, tie, text) or tokenized(items), weights(query_id, word, weight) -> ranking by the sum of weight * idf * saturated frequency."""
-    spark = items.sparkSession
-    tokens = items if "words" in items.columns else tokenized(items, tokenizer)
+    tokens = items if "_no" in items.columns else _numbered(items, "words") if "words" in items.columns else tokenized(items, tokenizer)
     weights = materialize(weights.select("query_id", "word", "weight"))
-    rows = weights.groupBy("query_id").agg(F.collect_list(F.struct("word", "weight")).alias("w")).orderBy("query_id").collect()  # the stated query set
     n, average, df = bm25_statistics(tokens, weights)
-    parts = [_bm25_block(tokens, block, n, average, df, k, k1, b) for block in _blocks(rows)]
-    if not parts:
-        return rank(spark.createDataFrame([], RANKED), k)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return rank(scored, k)
-
-
-def _bm25_block(tokens: DataFrame, rows: list, n: int, average: float, df: dict[str, int], k: int, k1: float, b: float) -> DataFrame:
-    queries = [r["query_id"] for r in rows]
-    vocabulary = {w: i for i, w in enumerate(sorted({x["word"] for r in rows for x in r["w"] if x["word"] in df}))}
+    vocabulary = sorted(df)
     idf = np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in vocabulary])
-    entries = [(q, vocabulary[x["word"]], x["weight"]) for q, r in enumerate(rows) for x in r["w"] if x["word"] in vocabulary]
-    sent = tokens.sparkSession.sparkContext.broadcast((queries, vocabulary, idf, entries))  # a block of the query set
-
-    def parts(entries: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For 512 queries at a time: their first place, the words they have, their weights of these (idf included)."""
-        q, w, v = (np.array(x) for x in zip(*entries)) if entries else (np.empty(0, int),) * 3
-        for a in range(0, len(sent.value[0]), 512):
-            take = (q >= a) & (q < a + 512)
-            words, at = np.unique(w[take], return_inverse=True)
-            block = np.zeros((min(512, len(sent.value[0]) - a), len(words)))
-            np.add.at(block, (q[take] - a, at), v[take] * sent.value[2][w[take].astype(int)])
-            yield a, words.astype(int), block
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries, vocabulary, _, entries = sent.value
-        blocks = None
-        for pdf in batches:
-            out = []
-            for s in range(0, len(pdf), 1000):
-                part = pdf.iloc[s : s + 1000]
-                tf = np.zeros((len(vocabulary), len(part)))
-                size = np.array([len(w) for w in part["words"]])
-                for i, words in enumerate(part["words"]):
-                    for w, c in Counter(words).items():
-                        if (j := vocabulary.get(w)) is not None:
-                            tf[j, i] = c
-                tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / (average or 1.0)))
-                if blocks is None:  # once a task, but for query sets so large that they are made anew
-                    blocks = list(parts(entries)) if len(queries) * len(vocabulary) < 50_000_000 else None
-                for a, words, block in blocks or parts(entries):
-                    out += _best(block @ tf[words], queries[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy(), k, 0.0)
-            yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
-
-    return spread(tokens).mapInPandas(score, RANKED)
+    table = weights.filter(F.col("word").isNotNull()).toArrow()  # the stated query set
+    code = pc.fill_null(pc.index_in(table["word"], value_set=pa.array(vocabulary, pa.string())), -1).to_numpy()
+    query = _one(table["query_id"]).dictionary_encode(null_encoding="encode")
+    names, place, weight = query.dictionary.to_pylist(), query.indices.to_numpy(), table["weight"].to_numpy()
+    order = np.lexsort((weight, code, place))
+    order = order[code[order] >= 0]
+    place, code, value = place[order], code[order].astype(np.int64), weight[order] * idf[code[order]] if len(order) else weight[order]
+    alike: dict[tuple[bytes, bytes], list] = {}
+    ends = np.searchsorted(place, np.arange(len(names) + 1))
+    for i, name in enumerate(names):
+        a, z = ends[i], ends[i + 1]
+        if z > a:
+            alike.setdefault((code[a:z].tobytes(), value[a:z].tobytes()), []).append(name)
+    asked = list(alike.items())
+    blocks = [asked[i : i + QUERY_BLOCK] for i in range(0, len(asked), QUERY_BLOCK)]
+    found = [_bm25_block(_dealt(tokens, len(blocks)), block, vocabulary, average, k, k1, b) for block in blocks]
+    out = _ranking(tokens, found)
+    forget(weights)
+    if tokens is not items:
+        forget(tokens)
+    return out
+
+
+def _bm25_block(tokens: DataFrame, asked: list, vocabulary: list[str], average: float, k: int, k1: float, b: float) -> DataFrame:
+    code, value = (np.frombuffer(b"".join(key[i] for key, _ in asked), t) for i, t in ((0, np.int64), (1, np.float64)))
+    length = np.array([len(key[0]) // 8 for key, _ in asked])
+    own, code = np.unique(code, return_inverse=True)
+    sent = tokens.sparkSession.sparkContext.broadcast(([vocabulary[w] for w in own], code, value, length))  # a block of the query set
+
+    def postings(words: pa.Array, vocabulary: pa.Array) -> tuple:
+        """By word: where its items begin, the items, what it adds to each, and the most it adds."""
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        item = np.repeat(np.arange(len(size)), size)
+        key, times = np.unique(at[at >= 0].astype(np.int64) * len(size) + item[at >= 0], return_counts=True)
+        word, item = np.divmod(key, len(size))
+        adds = times * (k1 + 1) / (times + k1 * (1 - b + b * size[item] / (average or 1.0)))
+        start = np.searchsorted(word, np.arange(len(vocabulary) + 1))
+        most = np.zeros(len(vocabulary))
+        np.maximum.at(most, word, adds)
+        return start, item, adds, most
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, code, value, length = sent.value
+        vocabulary, n = pa.array(names, pa.string()), len(length)
+        query, begin = np.repeat(np.arange(n), length), np.concatenate([[0], np.cumsum(length)])
+        best = _Best(n, k)
+        for table in _regrouped(batches, 1 << 15):
+            start, item, adds, most = postings(_one(table["words"]), vocabulary)
+            no, rows = _one(table["_no"]).to_numpy(), len(table)
+            whole = {}  # words of many items, as a column
+            for w in np.flatnonzero(np.diff(start) > rows / 8).tolist():
+                whole[w] = np.zeros(rows)
+                whole[w][item[start[w] : start[w + 1]]] = adds[start[w] : start[w + 1]]
+            bound = np.maximum(value, 0) * most[code]
+            order = np.lexsort((-bound, query))
+            total = np.concatenate([[0.0], np.cumsum(bound[order])])
+            from_here = total[np.repeat(begin[1:], length)] - total[:-1]  # what a word and those after it can add
+            least = best.score[:, -1] - SLACK
+            leading = np.bincount(query, from_here >= least[query], n).astype(int)  # an item without any of these stays below
+            word, times, after, first = code[order].tolist(), value[order].tolist(), (from_here - bound[order]).tolist(), begin.tolist()
+            sums, some, held = np.zeros(rows), [], 0
+            for q in np.flatnonzero(leading).tolist():
+                a, lead, z, low = first[q], first[q] + leading[q], first[q + 1], float(least[q])
+                sums.fill(0.0)
+                for j in range(a, lead):
+                    w = word[j]
+                    if w in whole:
+                        sums += times[j] * whole[w]
+                    else:
+                        sums[item[start[w] : start[w + 1]]] += times[j] * adds[start[w] : start[w + 1]]
+                at = np.flatnonzero(sums >= max(low - after[lead - 1], 1e-300))
+                own = sums[at]
+                for j in range(lead, z):
+                    if not len(at):
+                        break
+                    w = word[j]
+                    if w in whole:
+                        own += times[j] * whole[w][at]
+                    elif (m := start[w + 1] - start[w]) > 0:
+                        its = item[start[w] : start[w + 1]]
+                        i = np.minimum(np.searchsorted(its, at), m - 1)
+                        own += np.where(its[i] == at, times[j] * adds[start[w] + i], 0.0)
+                    keep = own >= low - after[j]
+                    if not keep.all():
+                        at, own = at[keep], own[keep]
+                own = np.round(own, 9)
+                if len(own) > k:
+                    keep = own >= np.partition(own, -k)[-k]
+                    at, own = at[keep], own[keep]
+                keep = own > 0
+                if keep.any():
+                    some.append((q, at[keep], own[keep]))
+                    held += len(at)
+                if held > 500_000:
+                    _collect(best, some, no)
+                    some, held = [], 0
+            _collect(best, some, no)
+        yield from best.packets()
+
+    return _merged(tokens.select("_no", "words").mapInArrow(score, PACKED), [names for _, names in asked], k)
+
+
+def _collect(best: _Best, some: list[tuple], no: np.ndarray) -> None:
+    if some:
+        best.add(np.repeat([q for q, _, _ in some], [len(at) for _, at, _ in some]), np.concatenate([x for _, _, x in some]), no[np.concatenate([at for _, at, _ in some])])
 
 
 def word_weights(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
@@ -146,50 +281,91 @@ def rm3(items: DataFrame, queries: DataFrame, docs: int = 10, words: int = 10, o
     return own.unionByName(model).groupBy("query_id", "word").agg(F.sum("weight").alias("weight"))
 
 
-def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the usable vectors and their unit vectors, in doubles."""
-    whole = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
-    x = np.array([vectors[i] for i in whole], dtype=np.float64).reshape(-1, dim)
+def units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the usable vectors and their unit vectors, in doubles; all have `dim` numbers or nulls."""
+    x = pc.fill_null(vectors.flatten().cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
     with np.errstate(over="ignore", invalid="ignore"):
         norm = np.sqrt((x * x).sum(1))
-    good = np.isfinite(norm) & (norm > 0)
-    return np.array(whole, int)[good], x[good] / norm[good, None]
+    good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+    return good, x[good] / norm[good, None]
+
+
+def _usable(df: DataFrame, dim: int, *columns: str) -> DataFrame:
+    return df.filter(F.size("vector") == dim).select(*columns, "vector")
 
 
-def _cosines(items: DataFrame, queries: DataFrame, dim: int, pick) -> DataFrame:
-    """What pick(scores, queries, items, ties) keeps of the cosines of each batch of items with all queries."""
-    spark = items.sparkSession
-    asked = queries.select("query_id", "vector").filter(F.size("vector") == dim).orderBy("query_id").collect()  # the stated query set
-    rows, q_all = units([r[1] for r in asked], dim)
-    scored = spark.createDataFrame([], RANKED)
-    for block in _blocks(list(zip(rows.tolist(), range(len(rows))))):
-        names, q = [asked[i][0] for i, _ in block], q_all[[j for _, j in block]]
+def _asked(queries: DataFrame, dim: int) -> list[tuple[list, np.ndarray]]:
+    """Blocks of the query set: ids and unit vectors."""
+    table = _usable(queries, dim, "query_id").toArrow()
+    if not len(table):
+        return []
+    rows, q = units(_one(table["vector"]), dim)
+    ids = table["query_id"].take(pa.array(rows)).to_pylist()
+    return [(ids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK]) for i in range(0, len(ids), QUERY_BLOCK)]
 
-        def score(batches: Iterator[pd.DataFrame], names: list = names, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                keep, x = units(pdf["vector"].tolist(), dim)
-                part, out = pdf.iloc[keep], []
-                for a in range(0, len(names), 512):
-                    out += pick(q[a : a + 512] @ x.T, names[a : a + 512], part["item_id"].to_numpy(), part["tie"].to_numpy())
-                yield pd.DataFrame(out, columns=["query_id", "item_id", "tie", "score"])
 
-        scored = scored.unionByName(spread(items.select("item_id", "tie", "vector").filter(F.size("vector") == dim)).mapInPandas(score, RANKED))
-    return scored
+def _pairs(q: np.ndarray, single: np.ndarray, x: np.ndarray, x_single: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs whose cosine reaches their query's least: places of queries and items, cosines to 9 digits."""
+    near = np.flatnonzero(single @ x_single.T >= (least - SINGLE).astype(np.float32)[:, None])
+    i, j = np.divmod(near, len(x))
+    score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[a : a + 50_000]], x[j[a : a + 50_000]]) for a in range(0, len(i), 50_000))])
+    score = np.round(score, 9)
+    keep = score >= least[i]
+    return i[keep], j[keep], score[keep]
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
     """items(item_id, tie, vector), queries(query_id, vector) -> exact ranking by cosine. Vectors without direction, with numbers that are not finite or of another length take no part."""
-    return rank(_cosines(items, queries, dim, lambda scores, names, ids, ties: _best(scores, names, ids, ties, k, -np.inf)), k)
+    stored = _numbered(items.filter(F.size("vector") == dim), "vector")
+    blocks = _asked(queries, dim)
+    found = []
+    for names, q in blocks:
+        sent = items.sparkSession.sparkContext.broadcast(q)
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            single, best = q.astype(np.float32), _Best(len(q), k)
+            for table in _regrouped(batches, 1 << 14):
+                rows, x = units(_one(table["vector"]), dim)
+                no, x_single = _one(table["_no"]).to_numpy()[rows], x.astype(np.float32)
+                for a in range(0, len(q) if len(x) else 0, 256):
+                    i, j, s = _pairs(q[a : a + 256], single[a : a + 256], x, x_single, best.score[a : a + 256, -1])
+                    best.add(a + i, s, no[j])
+            yield from best.packets()
+
+        found.append(_merged(_dealt(stored, len(blocks)).select("_no", "vector").mapInArrow(score, PACKED), [[x] for x in names], k))
+    out = _ranking(stored, found)
+    forget(stored)
+    return out
 
 
 def near(items: DataFrame, queries: DataFrame, at_least: float, dim: int = 64) -> DataFrame:
-    """As knn, but all items of cosine `at_least` or more, however many: (query_id, item_id, score)."""
-
-    def pick(scores: np.ndarray, names: list, ids: np.ndarray, ties: np.ndarray) -> list[tuple]:
-        scores = np.round(scores, 9)
-        return [(names[q], ids[i], int(ties[i]), float(scores[q, i])) for q, i in np.argwhere(scores >= at_least)]
+    """As knn, but all items of cosine `at_least` or more, however many: a stored table (query_id, item_id, score)."""
+    schema = pa.schema([("query_id", pa.string()), ("item_id", pa.string()), ("score", pa.float64())])
+    out = items.sparkSession.createDataFrame([], "query_id string, item_id string, score double")
+    stored = materialize(_usable(items, dim, "item_id"))
+    blocks = _asked(queries, dim)
+    for names, q in blocks:
+        sent = items.sparkSession.sparkContext.broadcast((names, q))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            ids, single = pa.array(names, pa.string()), q.astype(np.float32)
+            for table in _regrouped(batches, 1 << 14):
+                rows, x = units(_one(table["vector"]), dim)
+                own, x_single = _one(table["item_id"]).take(pa.array(rows)), x.astype(np.float32)
+                for a in range(0, len(q) if len(x) else 0, 256):
+                    part = q[a : a + 256]
+                    i, j, s = _pairs(part, single[a : a + 256], x, x_single, np.full(len(part), at_least))
+                    for c in range(0, len(s), 50_000):
+                        e = c + 50_000
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + i[c:e])), own.take(pa.array(j[c:e])), pa.array(s[c:e])], schema=schema)
+
+        out = out.unionByName(_dealt(stored, len(blocks)).mapInArrow(score, out.schema))
+    out = materialize(out)
+    forget(stored)
+    return out
 
-    return _cosines(items, queries, dim, pick).select("query_id", "item_id", "score")
 
 def pair_cosines(pairs: DataFrame, items: DataFrame, queries: DataFrame, dim: int = 64) -> DataFrame:
     """pairs(query_id, item_id) -> (query_id, item_id, score) of the pairs whose vectors both are usable: the cosine, to 9 digits."""

@@ -1,12 +1,11 @@
 """Queries at size: what used to be sent or held whole."""
 
 import numpy as np
-import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from lexgrid.functions import text as T
 from lexgrid.operators import joins as J
+from lexgrid.operators import ranking as R
 
 
 def rows(df, *columns):
@@ -20,3 +19,50 @@ def test_phrases_are_found_with_the_texts_words_kept_out_of_the_lookup(spark):
     hits = J.phrase_hits(texts.select("id", T.tokens(F.col("text")).alias("words")), terms.select("term", T.tokens(F.col("text")).alias("words")))
     assert rows(hits, "id", "term") == [("a", "land"), ("a", "net rent"), ("a", "rent of"), ("b", "net rent"), ("e", "net rent")]
     assert hits.columns == ["id", "term"]
+
+
+def test_a_task_holds_and_sends_k_rows_a_query_whatever_it_reads():
+    """Before, every batch of 1,000 items sent k rows a query, as tuples held for the whole batch."""
+    rng, best = np.random.default_rng(3), R._Best(40, 5)
+    q, s = rng.integers(0, 40, 20_000), np.round(rng.random(20_000), 2)
+    for a in range(0, 20_000, 1000):
+        best.add(q[a : a + 1000], s[a : a + 1000], np.arange(a, a + 1000))
+    assert best.score.shape == best.no.shape == (40, 5)
+    for i in range(40):
+        want = sorted((-s[j], j) for j in np.flatnonzero(q == i))[:5]
+        assert list(zip(-best.score[i], best.no[i])) == want
+    assert sum(len(b["data"][0].as_py()) for b in best.packets()) == 40 * 5 * 16
+
+
+def test_rankings_over_many_blocks_and_ties_are_whole_and_stored(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(300)] * 20
+    items = spark.createDataFrame([(f"i{i:05}", i % 7, t) for i, t in enumerate(texts)], "item_id string, tie long, text string")
+    queries = spark.createDataFrame([("a", "w1 w2 w3"), ("b", "w3 w2 w1"), (None, "w4")], "query_id string, text string")
+    got = R.bm25(items, R.word_weights(queries), 50)
+    assert got._materialized  # read twice, ranked once
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    for name, asked in (("a", "w1 w2 w3"), ("b", "w1 w2 w3"), (None, "w4")):
+        scores = []
+        for i, t in enumerate(texts):
+            own = t.split()
+            s = sum(np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.7 + 0.3 * len(own) / mean)) for w in asked.split() if w in own)
+            scores.append((-round(s, 9), i % 7, f"i{i:05}"))
+        want = [x[2] for x in sorted(scores)[:50]]
+        assert [r["item_id"] for r in got.filter(F.col("query_id").eqNullSafe(F.lit(name))).orderBy("rank").collect()] == want
+
+
+def test_near_and_knn_agree_with_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 4))
+    items = spark.createDataFrame([(f"i{i:05}", 0, [float(v) for v in r]) for i, r in enumerate(x)] + [("hole", 0, [1.0, None, 0.0, 0.0])], "item_id string, tie long, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", [float(v) for v in r]) for i, r in enumerate(x[:7])], "query_id string, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = np.round(unit[:7] @ unit.T, 9)
+    assert rows(R.near(items, queries, 0.9, 4), "query_id", "item_id") == sorted((f"q{q}", f"i{i:05}") for q, i in np.argwhere(cosine >= 0.9))
+    knn = R.knn(items, queries, 100, 4)
+    for q in range(7):
+        assert [r["item_id"] for r in knn.filter(F.col("query_id") == f"q{q}").orderBy("rank").collect()] == [f"i{i:05}" for i in np.argsort(-cosine[q], kind="stable")[:100]]
+    assert knn._materialized
