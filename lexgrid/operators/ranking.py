@@ -199,6 +199,7 @@ def _bm25_block(tokens: DataFrame, asked: list, vocabulary: list[str], average:
         best = _Best(n, k)
         for table in _regrouped(batches, 1 << 15):
             start, item, adds, most = postings(_one(table["words"]), vocabulary)
+            start = start.tolist()
             no, rows = _one(table["_no"]).to_numpy(), len(table)
             whole = {}  # words of many items, as a column
             for w in np.flatnonzero(np.diff(start) > rows / 8).tolist():
@@ -211,7 +212,7 @@ def _bm25_block(tokens: DataFrame, asked: list, vocabulary: list[str], average:
             least = best.score[:, -1] - SLACK
             leading = np.bincount(query, from_here >= least[query], n).astype(int)  # an item without any of these stays below
             word, times, after, first = code[order].tolist(), value[order].tolist(), (from_here - bound[order]).tolist(), begin.tolist()
-            sums, some, held = np.zeros(rows), [], 0
+            sums, one, some, held = np.zeros(rows), np.zeros(rows), [], 0
             for q in np.flatnonzero(leading).tolist():
                 a, lead, z, low = first[q], first[q] + leading[q], first[q + 1], float(least[q])
                 sums.fill(0.0)
@@ -229,7 +230,12 @@ def _bm25_block(tokens: DataFrame, asked: list, vocabulary: list[str], average:
                     w = word[j]
                     if w in whole:
                         own += times[j] * whole[w][at]
-                    elif (m := start[w + 1] - start[w]) > 0:
+                    elif (m := start[w + 1] - start[w]) and m < 32 * len(at):
+                        its = item[start[w] : start[w + 1]]
+                        one[its] = adds[start[w] : start[w + 1]]
+                        own += times[j] * one[at]
+                        one[its] = 0.0
+                    elif m:
                         its = item[start[w] : start[w + 1]]
                         i = np.minimum(np.searchsorted(its, at), m - 1)
                         own += np.where(its[i] == at, times[j] * adds[start[w] + i], 0.0)
