@@ -85,7 +85,7 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_head(spark: SparkSession, d: str) -> DataFrame:
     """The lexical ranking with its first 20 re-sorted by cosine, each pair's own."""
-    lexical = materialize(_bm25(spark, d, 40))
+    lexical = _bm25(spark, d, 40)
     new = R.pair_cosines(lexical.filter("rank <= 20"), _vectors(spark, d), _asked(spark, d))
     return U.rerank(lexical, new.withColumnRenamed("score", "new_score"))
 
@@ -150,7 +150,7 @@ def intrusions(spark: SparkSession, d: str) -> DataFrame:
 def adoption(spark: SparkSession, d: str) -> DataFrame:
     """Whether fusion may replace the lexical ranking: no measure falls, one rises."""
     gold, paths = materialize(_gold(spark, d)), materialize(_paths(spark, d))
-    lexical, dense = materialize(_bm25(spark, d, 100)), materialize(_knn(spark, d, 100))
+    lexical, dense = _bm25(spark, d, 100), _knn(spark, d, 100)
 
     def means(r: DataFrame, name: str) -> DataFrame:
         s = E.retrieval_scores(r.join(paths, "item_id").select("query_id", "rank", "path"), gold, 10)
