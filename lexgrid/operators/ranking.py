@@ -1,8 +1,8 @@
 """Ranking whole tables of queries against whole tables of items, in blocks.
 
 Items are stored in the order of (tie, item_id) with numbers in that order. Each task goes through its share of them once with a block of
-queries and holds the k best (score, number) of each query; from a small first block on, an item is scored in full only if a bound of its score
-reaches the k-th best so far: for BM25 the weights of its words against what the other words can add at most, for cosines a product in single precision.
+queries and holds the k best (score, number) of each query. All items are scored in single precision (BM25: queries with the same first words share
+the sums of these); an item is scored in doubles if that score, with its error, reaches the k-th best so far.
 No item and no query is left out. What a task found is sent as packed numbers, k a query and task at most, and merged by queries. Queries that ask for the same are
 ranked once. The queries travel to the tasks; a query table beyond QUERY_BLOCK rows is searched block by block.
 
@@ -27,8 +27,12 @@ from ..functions import text as T
 from ..session import forget, materialize
 
 QUERY_BLOCK = 20_000
-#: Rows of the first block of items that a task scores, the factor by which blocks grow, and what a packet holds.
-FIRST, GROWTH, PACKET = 512, 4, 8192
+#: Up to so many results that a task holds, a block of BM25 may have three times as many queries.
+MOST_HELD = 2_000_000
+#: Rows of the first block of items that a task scores, the factor by which blocks grow, the most rows of one for BM25, and what a packet holds.
+FIRST, GROWTH, ROWS, PACKET = 512, 4, 1 << 15, 8192
+#: Sums of first words that are kept for the queries after; rows of the sums that are looked through at once.
+KEPT, FOLD = 32, 64
 #: The parameters of BM25.
 K1, B = 1.5, 0.3
 #: Rounding to 9 digits, the order of sums and single precision of unit vectors move a score by less.
@@ -103,11 +107,11 @@ def _numbered(items: DataFrame, *columns) -> DataFrame:
 
 
 def _dealt(items: DataFrame, blocks: int) -> DataFrame:
-    """A stored table in about two shares a core over all blocks of queries, one at least: every share sends k rows a query."""
+    """A stored table in about two shares a core over all blocks of queries, one at least: every share sends k rows a query. What has about as many stays as it is stored, without a shuffle."""
     cores = items.sparkSession.sparkContext.defaultParallelism
     shares = max(cores, math.ceil(2 * cores / blocks))
     have = items._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
-    return items.coalesce(shares) if have >= 2 * shares else items.repartition(shares)
+    return items.coalesce(shares) if have >= 2 * shares else items if have >= 2 * cores else items.repartition(shares)
 
 
 def _regrouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -164,7 +168,8 @@ def bm25(items: DataFrame, weights: DataFrame, k: int = 10, k1: float = K1, b: f
         if z > a:
             alike.setdefault((code[a:z].tobytes(), value[a:z].tobytes()), []).append(name)
     asked = list(alike.items())
-    blocks = [asked[i : i + QUERY_BLOCK] for i in range(0, len(asked), QUERY_BLOCK)]
+    step = max(QUERY_BLOCK, min(MOST_HELD // k, 3 * QUERY_BLOCK))
+    blocks = [asked[i : i + step] for i in range(0, len(asked), step)]
     found = [_bm25_block(_dealt(tokens, len(blocks)), block, vocabulary, average, k, k1, b) for block in blocks]
     out = _ranking(tokens, found)
     forget(weights)
@@ -174,94 +179,118 @@ def bm25(items: DataFrame, weights: DataFrame, k: int = 10, k1: float = K1, b: f
 
 
 def _bm25_block(tokens: DataFrame, asked: list, vocabulary: list[str], average: float, k: int, k1: float, b: float) -> DataFrame:
-    code, value = (np.frombuffer(b"".join(key[i] for key, _ in asked), t) for i, t in ((0, np.int64), (1, np.float64)))
     length = np.array([len(key[0]) // 8 for key, _ in asked])
+    code, value = (np.frombuffer(b"".join(key[i] for key, _ in asked), t) for i, t in ((0, np.int64), (1, np.float64)))
     own, code = np.unique(code, return_inverse=True)
     sent = tokens.sparkSession.sparkContext.broadcast(([vocabulary[w] for w in own], code, value, length))  # a block of the query set
 
-    def postings(words: pa.Array, vocabulary: pa.Array) -> tuple:
-        """By word: where its items begin, the items, what it adds to each, and the most it adds."""
-        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        item = np.repeat(np.arange(len(size)), size)
-        key, times = np.unique(at[at >= 0].astype(np.int64) * len(size) + item[at >= 0], return_counts=True)
-        word, item = np.divmod(key, len(size))
-        adds = times * (k1 + 1) / (times + k1 * (1 - b + b * size[item] / (average or 1.0)))
-        start = np.searchsorted(word, np.arange(len(vocabulary) + 1))
-        most = np.zeros(len(vocabulary))
-        np.maximum.at(most, word, adds)
-        return start, item, adds, most
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, code, value, length = sent.value
-        vocabulary, n = pa.array(names, pa.string()), len(length)
-        query, begin = np.repeat(np.arange(n), length), np.concatenate([[0], np.cumsum(length)])
-        best = _Best(n, k)
-        for table in _regrouped(batches, 1 << 15):
-            start, item, adds, most = postings(_one(table["words"]), vocabulary)
-            start = start.tolist()
-            no, rows = _one(table["_no"]).to_numpy(), len(table)
-            whole = {}  # words of many items, as a column
-            for w in np.flatnonzero(np.diff(start) > rows / 8).tolist():
-                whole[w] = np.zeros(rows)
-                whole[w][item[start[w] : start[w + 1]]] = adds[start[w] : start[w + 1]]
-            bound = np.maximum(value, 0) * most[code]
-            order = np.lexsort((-bound, query))
-            total = np.concatenate([[0.0], np.cumsum(bound[order])])
-            from_here = total[np.repeat(begin[1:], length)] - total[:-1]  # what a word and those after it can add
-            least = best.score[:, -1] - SLACK
-            leading = np.bincount(query, from_here >= least[query], n).astype(int)  # an item without any of these stays below
-            word, times, after, first = code[order].tolist(), value[order].tolist(), (from_here - bound[order]).tolist(), begin.tolist()
-            sums, one, some, held = np.zeros(rows), np.zeros(rows), [], 0
-            for q in np.flatnonzero(leading).tolist():
-                a, lead, z, low = first[q], first[q] + leading[q], first[q + 1], float(least[q])
-                sums.fill(0.0)
-                for j in range(a, lead):
-                    w = word[j]
-                    if w in whole:
-                        sums += times[j] * whole[w]
-                    else:
-                        sums[item[start[w] : start[w + 1]]] += times[j] * adds[start[w] : start[w + 1]]
-                at = np.flatnonzero(sums >= max(low - after[lead - 1], 1e-300))
-                own = sums[at]
-                for j in range(lead, z):
-                    if not len(at):
-                        break
-                    w = word[j]
-                    if w in whole:
-                        own += times[j] * whole[w][at]
-                    elif (m := start[w + 1] - start[w]) and m < 32 * len(at):
-                        its = item[start[w] : start[w + 1]]
-                        one[its] = adds[start[w] : start[w + 1]]
-                        own += times[j] * one[at]
-                        one[its] = 0.0
-                    elif m:
-                        its = item[start[w] : start[w + 1]]
-                        i = np.minimum(np.searchsorted(its, at), m - 1)
-                        own += np.where(its[i] == at, times[j] * adds[start[w] + i], 0.0)
-                    keep = own >= low - after[j]
-                    if not keep.all():
-                        at, own = at[keep], own[keep]
-                own = np.round(own, 9)
-                if len(own) > k:
-                    keep = own >= np.partition(own, -k)[-k]
-                    at, own = at[keep], own[keep]
-                keep = own > 0
-                if keep.any():
-                    some.append((q, at[keep], own[keep]))
-                    held += len(at)
-                if held > 500_000:
-                    _collect(best, some, no)
-                    some, held = [], 0
-            _collect(best, some, no)
-        yield from best.packets()
+        yield from _bm25_best(_regrouped(batches, ROWS), *sent.value, average, k, k1, b).packets()
 
     return _merged(tokens.select("_no", "words").mapInArrow(score, PACKED), [names for _, names in asked], k)
 
 
-def _collect(best: _Best, some: list[tuple], no: np.ndarray) -> None:
-    if some:
-        best.add(np.repeat([q for q, _, _ in some], [len(at) for _, at, _ in some]), np.concatenate([x for _, _, x in some]), no[np.concatenate([at for _, at, _ in some])])
+def _postings(words: pa.Array, vocabulary: pa.Array, average: float, k1: float, b: float) -> tuple:
+    """By word and item: their keys word * rows + item, what the word adds to the item, and where each word begins."""
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    known = at >= 0
+    key, times = np.unique(at[known] * np.int64(len(size)) + np.repeat(np.arange(len(size)), size)[known], return_counts=True)
+    adds = times * (k1 + 1) / (times + k1 * (1 - b + b * size[key % len(size)] / (average or 1.0)))
+    return key, adds, np.searchsorted(key, np.arange(len(vocabulary) + 1) * len(size))
+
+
+def _in_turn(code: np.ndarray, value: np.ndarray, length: np.ndarray) -> list[tuple[int, int, list[tuple[int, float]]]]:
+    """The queries so that those with the same first words follow each other, frequent words first: (query, number of first words it has in common with the one before, words and weights)."""
+    (word, weight), pair, often = np.unique(np.stack([code.astype(np.float64), value]), axis=1, return_inverse=True, return_counts=True)
+    frequent = np.argsort(-often, kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[frequent] = np.arange(len(often))
+    rank = rank[pair.ravel()]
+    rank = rank[np.lexsort((rank, np.repeat(np.arange(len(length)), length)))]
+    pairs, numbers = list(zip(word[frequent].astype(int).tolist(), weight[frequent].tolist())), list(range(len(often)))  # each object once
+    ends = np.cumsum(length)
+    each = sorted(([numbers[x] for x in rank[z - n : z].tolist()], q) for q, (z, n) in enumerate(zip(ends, length.tolist())))
+    out, last = [], []
+    for own, q in each:
+        same = next((i for i, (x, y) in enumerate(zip(own, last)) if x != y), min(len(own), len(last)))
+        out.append((q, same, [pairs[x] for x in own]))
+        last = own
+    return out
+
+
+def _bm25_best(tables: Iterator[pa.Table], names: list[str], code: np.ndarray, value: np.ndarray, length: np.ndarray, average: float, k: int, k1: float, b: float) -> _Best:
+    """The k best of each query. All items are scored in single precision, with the sums of the words that a query has in common with the one before it kept;
+    those that may be among the k best as far as single precision can tell are scored again in doubles."""
+    vocabulary, n = pa.array(names, pa.string()), len(length)
+    best, turns, begin = _Best(n, k), _in_turn(code, value, length), np.cumsum(length) - length
+    total = np.bincount(np.repeat(np.arange(n), length), np.abs(value), n)
+    error = (length + 4) * 2.0**-22 * (k1 + 1) * total + SLACK  # twice what the sums in single precision may be off, and the rounding
+    alone, scale = np.zeros(len(names)), np.ones(len(names))
+    alone[code] = value
+    if fixed := bool((alone[code] == value).all()):  # a word weighs the same for all queries
+        scale = alone
+    floor = 1e-30 if (value >= 0).all() else -np.inf  # without negative weights an item without a common word has no more than nothing
+    for table in tables:
+        no, rows = _one(table["_no"]).to_numpy(), len(table)
+        key, adds, start = _postings(_one(table["words"]), vocabulary, average, k1, b)
+        item, single, start, wide = key % rows, (adds * scale[key // rows]).astype(np.float32), start.tolist(), -(-rows // FOLD) * FOLD
+        whole = {}  # words of many items, as a column
+        for w in range(len(names)):
+            if start[w + 1] - start[w] > rows / 64:
+                whole[w] = np.zeros(wide, np.float32)
+                whole[w][item[start[w] : start[w + 1]]] = single[start[w] : start[w + 1]]
+        low = np.maximum(np.where(best.score[:, -1] > 0, best.score[:, -1], 0.0) - error, floor).astype(np.float32)
+        sums, part, some, held = [np.zeros(wide, np.float32)], np.empty(wide, np.float32), [], 0
+        off = (2 * error).tolist()
+        for q, same, words in turns:
+            for depth in range(min(same, KEPT - 1), len(words)):
+                w, times = words[depth]
+                at = min(depth + 1, KEPT)  # beyond that depth sums are not kept for others
+                if at == len(sums):
+                    sums.append(np.empty(wide, np.float32))
+                if w in whole:
+                    np.add(sums[min(depth, KEPT)], whole[w] if fixed else np.multiply(whole[w], np.float32(times), out=part), out=sums[at])
+                else:
+                    if depth < KEPT:
+                        np.copyto(sums[at], sums[depth])
+                    sums[at][item[start[w] : start[w + 1]]] += single[start[w] : start[w + 1]] if fixed else np.float32(times) * single[start[w] : start[w + 1]]
+            last = sums[min(len(words), KEPT)].reshape(FOLD, -1)
+            column = np.flatnonzero(np.maximum.reduce(last) >= low[q])
+            if not len(column):
+                continue
+            near, at = np.nonzero(last[:, column] >= low[q])
+            at = near * last.shape[1] + column[at]
+            last = last.ravel()
+            if wide > rows:
+                at = at[at < rows]
+            if len(at) > k:
+                own = last[at]
+                at = at[own >= np.partition(own, -k)[-k] - off[q]]
+            some.append((q, at))
+            held += len(at)
+            if held > 100_000:
+                _settle(best, some, no, key, adds, rows, code, value, begin, length)
+                some, held = [], 0
+        _settle(best, some, no, key, adds, rows, code, value, begin, length)
+    return best
+
+
+def _settle(best: _Best, some: list[tuple], no: np.ndarray, key: np.ndarray, adds: np.ndarray, rows: int, code: np.ndarray, value: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    """Scores the chosen items of some queries in doubles."""
+    if not some or not len(key):
+        return
+    query, at = np.repeat([q for q, _ in some], [len(x) for _, x in some]), np.concatenate([x for _, x in some])
+    own = np.zeros(len(at))
+    for j in range(int(length[query].max())):
+        more = np.flatnonzero(length[query] > j)
+        place = begin[query[more]] + j
+        wanted = code[place] * rows + at[more]
+        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        own[more] += np.where(key[found] == wanted, value[place] * adds[found], 0.0)
+    own = np.round(own, 9)
+    keep = own > 0
+    best.add(query[keep], own[keep], no[at[keep]])
 
 
 def word_weights(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:

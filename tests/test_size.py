@@ -1,6 +1,7 @@
 """Queries at size: what used to be sent or held whole."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexgrid.functions import text as T
@@ -66,3 +67,29 @@ def test_near_and_knn_agree_with_doubles(spark):
     for q in range(7):
         assert [r["item_id"] for r in knn.filter(F.col("query_id") == f"q{q}").orderBy("rank").collect()] == [f"i{i:05}" for i in np.argsort(-cosine[q], kind="stable")[:100]]
     assert knn._materialized
+
+
+def test_sums_of_words_that_queries_share_are_made_once_and_scores_stay_those_of_doubles():
+    """bm25_topk: before, every query went through all its words in every block of items, in doubles."""
+    rng, k = np.random.default_rng(6), 3
+    names, code, value, length = [f"w{i:02}" for i in range(40)], [], [], []
+    for i in range(60):
+        own = [0, 1, *(2 + rng.choice(38, rng.integers(1, 6), replace=False))] if i < 59 else list(range(40))
+        code += own
+        value += [1.0, 0.5, *rng.choice([0.25, 1.0, 3.0], len(own) - 2)]
+        length.append(len(own))
+    code, value, length = np.array(code), np.array(value), np.array(length)
+    turns = R._in_turn(code, value, length)
+    assert sorted(q for q, _, _ in turns) == list(range(60)) and all(len(w) == length[q] for q, _, w in turns)
+    assert sum(len(w) - same for _, same, w in turns) <= length.sum() - 2 * 59
+    texts = [[names[w] for w in rng.choice(40, rng.integers(0, 12))] for _ in range(3001)]
+    mean = np.mean([len(t) for t in texts])
+    for weights in (value, np.where(code == 5, -value, value), np.ones(len(code))):
+        table = pa.table({"_no": pa.array(range(3001), pa.int64()), "words": pa.array(texts, pa.list_(pa.string()))})
+        best = R._bm25_best(R._regrouped(iter(table.to_batches(700)), 1000), names, code, weights, length, mean, k, 1.5, 0.3)
+        for q, end in enumerate(np.cumsum(length)):
+            scores = []
+            for i, t in enumerate(texts):
+                s = sum(v * t.count(names[w]) * 2.5 / (t.count(names[w]) + 1.5 * (0.7 + 0.3 * len(t) / mean)) for w, v in zip(code[end - length[q] : end], weights[end - length[q] : end]))
+                scores.append((-round(s, 9), i))
+            assert list(zip(-best.score[q], best.no[q])) == sorted(scores)[:k]
