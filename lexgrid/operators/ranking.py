@@ -110,7 +110,7 @@ def _dealt(items: DataFrame, blocks: int) -> DataFrame:
     """A stored table in about two shares a core over all blocks of queries, one at least: every share sends k rows a query. What has about as many stays as it is stored, without a shuffle."""
     cores = items.sparkSession.sparkContext.defaultParallelism
     shares = max(cores, math.ceil(2 * cores / blocks))
-    have = items._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+    have = items._jdf.queryExecution().toRdd().getNumPartitions()
     return items.coalesce(shares) if have >= 2 * shares else items if have >= 2 * cores else items.repartition(shares)
 
 
