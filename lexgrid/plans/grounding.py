@@ -87,8 +87,7 @@ def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
     ranked = materialize(retrieval._bm25(spark, d, 20))
     c = materialize(chunks(spark, d, "corpus_version", "parent_id", "node_path", "char_start", "text").filter(P.parts(F.col("node_path")).isNotNull()))
     nodes = c.select(F.col("corpus_version").alias("scope"), F.col("node_path").alias("path"), F.col("chunk_id").alias("id"))
-    hops = relations._hops(spark, d).join(ranked.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").select("id", "target", "position")
-    hops = materialize(hops)
+    hops = materialize(relations._hops(spark, d, ranked.select(F.col("item_id").alias("id")).distinct()).select("id", "target", "position"))
     wanted = ranked.select("item_id").unionByName(hops.select(F.col("target").alias("item_id"))).distinct()
     above = J.lineage(nodes).join(wanted, F.col("id") == F.col("item_id"), "left_semi").select("id", "ancestor")
     own = F.array("item_id")

@@ -29,8 +29,10 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
     return J.lineage(_nodes(spark, d)).select(F.col("id").alias("chunk_id"), "ancestor", "distance")
 
 
-def _hops(spark: SparkSession, d: str) -> DataFrame:
+def _hops(spark: SparkSession, d: str, ids: DataFrame | None = None) -> DataFrame:
+    """What chunks refer to; of ids(id) alone if given, before references are resolved by all their prefixes."""
     edges = chunks(spark, d, "corpus_version", "outgoing_refs").select(F.col("corpus_version").alias("scope"), F.col("chunk_id").alias("id"), F.posexplode("outgoing_refs").alias("position", "path"))
+    edges = edges if ids is None else edges.join(ids, "id", "left_semi").select("scope", "id", "position", "path")
     return J.one_hop(edges.filter(P.parts(F.col("path")).isNotNull()), _nodes(spark, d))
 
 

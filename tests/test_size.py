@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexgrid.functions import text as T
 from lexgrid.operators import joins as J
 from lexgrid.operators import ranking as R
+from lexgrid.plans import relations
 
 
 def rows(df, *columns):
@@ -93,3 +94,12 @@ def test_sums_of_words_that_queries_share_are_made_once_and_scores_stay_those_of
                 s = sum(v * t.count(names[w]) * 2.5 / (t.count(names[w]) + 1.5 * (0.7 + 0.3 * len(t) / mean)) for w, v in zip(code[end - length[q] : end], weights[end - length[q] : end]))
                 scores.append((-round(s, 9), i))
             assert list(zip(-best.score[q], best.no[q])) == sorted(scores)[:k]
+
+
+def test_references_of_some_chunks_alone_are_resolved_as_among_those_of_all(spark):
+    """evidence_pack: before, the references of every chunk were taken apart into prefixes, and those of the ranked chunks chosen afterwards."""
+    d = "/root/testdata/sf0.001"
+    whole = relations._hops(spark, d).select("id", "target", "position").cache()
+    ids = whole.select("id").distinct().orderBy("id").limit(40)
+    some = relations._hops(spark, d, ids)
+    assert rows(some, "id", "target", "position") == rows(whole.join(ids, "id", "left_semi"), "id", "target", "position") != []
