@@ -21,6 +21,11 @@ def _renumber(df: DataFrame, *order, k: int | None = None) -> DataFrame:
     return ranked.select("query_id", "item_id", "rank", "score")
 
 
+def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
+    """scores(query_id, item_id, score) as a ranking; ties go to the smaller item_id."""
+    return _renumber(scores, F.desc("score"), "item_id", k=k)
+
+
 def rrf(*rankings: DataFrame, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion; ties go to the best single rank, then to the earlier ranking. Sums are exact decimals."""
     each = _union(*rankings).withColumn("part", (F.lit(1).cast("decimal(20,18)") / (F.col("rank") + rrf_k).cast("decimal(10,0)")).cast("decimal(28,20)"))

@@ -21,12 +21,14 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("chunk_id").alias("item_id"), F.col("ordinal").cast("bigint").alias("tie"), F.concat_ws("\n", crumb, "text").alias("text"))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return R.word_weights(questions(spark, d).select("query_id", F.col("question").alias("text")))
+def _weights(spark: SparkSession, d: str, but: DataFrame | None = None) -> DataFrame:
+    asked = questions(spark, d).select("query_id", F.col("question").alias("text"))
+    return R.word_weights(asked if but is None else asked.join(but.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def _bm25(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return R.bm25(_items(spark, d), _weights(spark, d), k)
+def _bm25(spark: SparkSession, d: str, k: int = 10, but: DataFrame | None = None) -> DataFrame:
+    """but(query_id): questions whose ranking nothing will read."""
+    return R.bm25(_items(spark, d), _weights(spark, d, but), k)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -91,8 +93,9 @@ def rerank_head(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fallback_leg(spark: SparkSession, d: str) -> DataFrame:
-    """Vector ranking of near chunks, lexical ranking for questions that have none."""
-    return _shown(U.fallback(_knn(spark, d).filter("score >= 0.75"), _bm25(spark, d)))
+    """Vector ranking of near chunks, lexical ranking for questions that have none, which are the only ones ranked by words."""
+    near = materialize(U.ranked(R.near(_vectors(spark, d), _asked(spark, d), 0.75), k=10))
+    return _shown(U.fallback(near, _bm25(spark, d, but=near)))
 
 
 def interleaved(spark: SparkSession, d: str) -> DataFrame:

@@ -5,9 +5,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexgrid.functions import text as T
+from lexgrid.operators import fusion as U
 from lexgrid.operators import joins as J
 from lexgrid.operators import ranking as R
-from lexgrid.plans import relations
+from lexgrid.plans import relations, retrieval
 
 
 def rows(df, *columns):
@@ -103,3 +104,21 @@ def test_references_of_some_chunks_alone_are_resolved_as_among_those_of_all(spar
     ids = whole.select("id").distinct().orderBy("id").limit(40)
     some = relations._hops(spark, d, ids)
     assert rows(some, "id", "target", "position") == rows(whole.join(ids, "id", "left_semi"), "id", "target", "position") != []
+
+
+def asked_by_words(monkeypatch):
+    """The ids of the questions that BM25 ranks, by call."""
+    seen, bm25 = [], R.bm25
+    monkeypatch.setattr(R, "bm25", lambda items, weights, *a, **k: (seen.append({r[0] for r in weights.select("query_id").distinct().collect()}), bm25(items, weights, *a, **k))[1])
+    return seen
+
+
+def test_fallback_ranks_by_words_only_questions_without_a_near_chunk(spark, monkeypatch):
+    """fallback_leg: before, all questions were ranked by words, and ten deep by vectors."""
+    d = "/root/testdata/sf0.01"
+    dense, lexical = retrieval._knn(spark, d).filter("score >= 0.75"), retrieval._bm25(spark, d)
+    want = rows(retrieval._shown(U.fallback(dense, lexical)), "query_id", "item_id", "rank", "score")
+    near = {r[0] for r in dense.select("query_id").distinct().collect()}
+    seen = asked_by_words(monkeypatch)
+    assert rows(retrieval.fallback_leg(spark, d), "query_id", "item_id", "rank", "score") == want
+    assert near and seen[0] and len(seen) == 1 and not seen[0] & near
