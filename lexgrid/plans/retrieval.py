@@ -21,14 +21,17 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("chunk_id").alias("item_id"), F.col("ordinal").cast("bigint").alias("tie"), F.concat_ws("\n", crumb, "text").alias("text"))
 
 
-def _weights(spark: SparkSession, d: str, but: DataFrame | None = None) -> DataFrame:
+def _weights(spark: SparkSession, d: str, of: DataFrame | None = None, but: DataFrame | None = None) -> DataFrame:
     asked = questions(spark, d).select("query_id", F.col("question").alias("text"))
-    return R.word_weights(asked if but is None else asked.join(but.select("query_id").distinct(), "query_id", "left_anti"))
+    for some, how in ((of, "left_semi"), (but, "left_anti")):
+        if some is not None:
+            asked = asked.join(some.select("query_id").distinct(), "query_id", how)
+    return R.word_weights(asked)
 
 
-def _bm25(spark: SparkSession, d: str, k: int = 10, but: DataFrame | None = None) -> DataFrame:
-    """but(query_id): questions whose ranking nothing will read."""
-    return R.bm25(_items(spark, d), _weights(spark, d, but), k)
+def _bm25(spark: SparkSession, d: str, k: int = 10, of: DataFrame | None = None, but: DataFrame | None = None) -> DataFrame:
+    """of(query_id): the questions whose ranking is read, if not all are; but(query_id): those whose ranking nothing reads."""
+    return R.bm25(_items(spark, d), _weights(spark, d, of, but), k)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +111,10 @@ def shortcut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    ranking = _bm25(spark, d, 20).join(_paths(spark, d), "item_id").select("query_id", "rank", "path")
-    scores = E.retrieval_scores(ranking, _gold(spark, d), 10)
+    """Of every question that asks for something; the others are not ranked."""
+    gold = materialize(_gold(spark, d))
+    ranking = _bm25(spark, d, 20, of=gold).join(_paths(spark, d), "item_id").select("query_id", "rank", "path")
+    scores = E.retrieval_scores(ranking, gold, 10)
     return scores.select("query_id", "required", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 

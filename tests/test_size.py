@@ -122,3 +122,15 @@ def test_fallback_ranks_by_words_only_questions_without_a_near_chunk(spark, monk
     seen = asked_by_words(monkeypatch)
     assert rows(retrieval.fallback_leg(spark, d), "query_id", "item_id", "rank", "score") == want
     assert near and seen[0] and len(seen) == 1 and not seen[0] & near
+
+
+def test_metrics_rank_only_questions_that_ask_for_something(spark, monkeypatch):
+    """retrieval_metrics and metrics_by_slice: before, all questions were ranked, those without a wanted path too."""
+    d = "/root/testdata/sf0.01"
+    gold = retrieval._gold(spark, d).cache()
+    run = retrieval._bm25(spark, d, 20).join(retrieval._paths(spark, d), "item_id")
+    want = rows(retrieval.E.retrieval_scores(run.select("query_id", "rank", "path"), gold, 10).select("query_id", "required", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg")), "query_id", "required", "recall", "ndcg")
+    asked = {r[0] for r in gold.select("query_id").distinct().collect()}
+    seen = asked_by_words(monkeypatch)
+    assert rows(retrieval.retrieval_metrics(spark, d), "query_id", "required", "recall", "ndcg") == want != []
+    assert len(seen) == 1 and all(ids and ids <= asked for ids in seen) and len(asked) < retrieval.questions(spark, d).count()
