@@ -53,8 +53,8 @@ def modal_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def miss_causes(spark: SparkSession, d: str) -> DataFrame:
     """Why wanted paths are not among the first ten: found, ranking (11 to 20), granularity (an ancestor was found), recall."""
-    run = retrieval._bm25(spark, d, 20).join(retrieval._paths(spark, d), "item_id").groupBy("query_id", "path").agg(F.min("rank").alias("rank"))
-    gold = retrieval._gold(spark, d)
+    gold = materialize(retrieval._gold(spark, d))
+    run = materialize(retrieval._bm25(spark, d, 20, of=gold).join(retrieval._paths(spark, d), "item_id").groupBy("query_id", "path").agg(F.min("rank").alias("rank")))
     exact = gold.join(run.withColumnRenamed("path", "required"), ["query_id", "required"], "left")
     above = gold.withColumn("path", F.explode(P.prefixes(F.col("required")))).filter("path <> required").join(run.filter("rank <= 10"), ["query_id", "path"]).select("query_id", "required", F.lit(True).alias("above")).distinct()
     cause = F.when(F.col("rank") <= 10, "found").when(F.col("above"), "granularity").when(F.col("rank") <= 20, "ranking").otherwise("recall")

@@ -8,7 +8,7 @@ from lexgrid.functions import text as T
 from lexgrid.operators import fusion as U
 from lexgrid.operators import joins as J
 from lexgrid.operators import ranking as R
-from lexgrid.plans import relations, retrieval
+from lexgrid.plans import relations, retrieval, selection
 
 
 def rows(df, *columns):
@@ -125,7 +125,7 @@ def test_fallback_ranks_by_words_only_questions_without_a_near_chunk(spark, monk
 
 
 def test_metrics_rank_only_questions_that_ask_for_something(spark, monkeypatch):
-    """retrieval_metrics and metrics_by_slice: before, all questions were ranked, those without a wanted path too."""
+    """retrieval_metrics, metrics_by_slice and miss_causes: before, all questions were ranked, those without a wanted path too."""
     d = "/root/testdata/sf0.01"
     gold = retrieval._gold(spark, d).cache()
     run = retrieval._bm25(spark, d, 20).join(retrieval._paths(spark, d), "item_id")
@@ -133,4 +133,5 @@ def test_metrics_rank_only_questions_that_ask_for_something(spark, monkeypatch):
     asked = {r[0] for r in gold.select("query_id").distinct().collect()}
     seen = asked_by_words(monkeypatch)
     assert rows(retrieval.retrieval_metrics(spark, d), "query_id", "required", "recall", "ndcg") == want != []
-    assert len(seen) == 1 and all(ids and ids <= asked for ids in seen) and len(asked) < retrieval.questions(spark, d).count()
+    assert sum(r["wanted"] for r in selection.miss_causes(spark, d).collect()) == gold.count()
+    assert len(seen) == 2 and all(ids and ids <= asked for ids in seen) and len(asked) < retrieval.questions(spark, d).count()
