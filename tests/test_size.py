@@ -129,9 +129,9 @@ def test_metrics_rank_only_questions_that_ask_for_something(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     gold = retrieval._gold(spark, d).cache()
     run = retrieval._bm25(spark, d, 20).join(retrieval._paths(spark, d), "item_id")
-    want = rows(retrieval.E.retrieval_scores(run.select("query_id", "rank", "path"), gold, 10).select("query_id", "required", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg")), "query_id", "required", "recall", "ndcg")
+    want = rows(retrieval.E.retrieval_scores(run.select("query_id", "rank", "path"), gold, 10).select("query_id", "required", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")]), "query_id", "required", "recall", "mrr", "ndcg")
     asked = {r[0] for r in gold.select("query_id").distinct().collect()}
     seen = asked_by_words(monkeypatch)
-    assert rows(retrieval.retrieval_metrics(spark, d), "query_id", "required", "recall", "ndcg") == want != []
+    assert rows(retrieval.retrieval_metrics(spark, d), "query_id", "required", "recall", "mrr", "ndcg") == want != []
     assert sum(r["wanted"] for r in selection.miss_causes(spark, d).collect()) == gold.count()
     assert len(seen) == 2 and all(ids and ids <= asked for ids in seen) and len(asked) < retrieval.questions(spark, d).count()
