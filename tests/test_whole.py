@@ -2,6 +2,7 @@
 
 import pytest
 
+from lexgrid.operators import evaluation as E
 from lexgrid.plans import relations, retrieval
 
 
@@ -42,3 +43,18 @@ def test_rerank_scores_every_head_item(spark, folder):
     write(spark, folder, "chunks", [(k, n, None, None, "1", "t", text, None) for k, n, text, _ in chunks], columns)
     got = [r["item_id"] for r in retrieval.rerank_head(spark, folder).orderBy("rank").collect()]
     assert got == ["b", "a", "c"]  # none is among the question's 100 nearest
+
+
+def test_adoption_counts_what_a_slice_loses(spark):
+    """Before, a run was adopted on its means alone, whatever a slice lost."""
+    run = lambda recall: spark.createDataFrame([(q, float(r), float(r)) for q, r in recall.items()], "query_id string, recall double, ndcg double")
+    old = dict(a1=1, a2=1, a3=0, b1=0, b2=0, b3=0, n1=1, n2=0.5)
+    slices = spark.createDataFrame([(q, {"a": "alone", "b": "both"}.get(q[0])) for q in old], "query_id string, slice string")
+    judged = lambda **new: E.judge(run(old | new), run(old), slices).first()
+    got = judged(a1=0, a2=0, b1=1, b2=1, b3=1)
+    assert got["new_recall"] > got["old_recall"] and got["new_ndcg"] > got["old_ndcg"]
+    assert (got["adopted"], got["reasons"]) == (False, ["slice_loses:alone:2.00"])
+    assert judged(a1=0, b1=1, b2=1)["adopted"]  # one query of a slice may be lost
+    assert judged(n1=0, n2=0, b1=1, b2=1)["reasons"] == ["slice_loses:none:1.50"]
+    assert judged(a1=0, a2=0, n1=0, n2=0)["reasons"] == ["recall_falls", "ndcg_falls", "nothing_rises", "slice_loses:alone:2.00", "slice_loses:none:1.50"]
+    assert judged()["reasons"] == ["nothing_rises"]
