@@ -114,3 +114,28 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     pairs = firsts.join(sought, "_first").drop("_first")
     hit = stored.join(pairs, "_text").filter(T.has_phrase(F.col("_all"), F.col("words")))
     return hit.select(*rest, *[c for c in phrases.columns if c != "words"])
+
+
+#: Fixed value: how many first signs of a piece make the key by which it is looked up.
+KEY = 3
+
+
+def substrings_in(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts(text, ...), phrases(phrase, place) -> the other columns of every text and `phrases`, those that it has as a part in any case of letters, by place.
+
+    Texts and phrases are cut at white space. Of each phrase the longest piece is looked up among the distinct pieces of all texts, by its first signs; a text that has the
+    phrase has a piece with that one in it, so only such pairs of texts and phrases are compared. A phrase of white space alone is compared with every text.
+    """
+    rest = [c for c in texts.columns if c != "text"]
+    cut = lambda c: F.split(c, r"\s+")
+    stored = materialize(texts.select(*rest, F.lower("text").alias("_low"), F.monotonically_increasing_id().alias("_text")))
+    longest = F.array_max(F.transform(cut("_sought"), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))["piece"]
+    sought = phrases.filter("phrase is not null").select("place", "phrase", F.lower("phrase").alias("_sought")).withColumn("_anchor", longest)
+    sought = materialize(sought.withColumn("_key", F.substring("_anchor", 1, KEY)))
+    pieces = stored.select("_text", F.explode(F.array_distinct(cut("_low"))).alias("_piece"))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *[F.regexp_extract_all("_piece", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, KEY + 1)]))
+    keyed = pieces.select("_piece").distinct().select("_piece", F.explode(keys).alias("_key"))
+    among = materialize(keyed.join(sought.select("_key", "_anchor").distinct(), "_key").filter(F.col("_piece").contains(F.col("_anchor"))).select("_piece", "_anchor"))
+    near = pieces.join(among, "_piece").join(sought.drop("_key"), "_anchor").groupBy("_text").agg(F.collect_set(F.struct("place", "phrase", "_sought")).alias("_near"))
+    held = F.array_sort(F.filter("_near", lambda x: F.col("_low").contains(x["_sought"])))
+    return stored.join(near, "_text", "left").select(*rest, F.coalesce(F.transform(held, lambda x: x["phrase"]), F.array().cast("array<string>")).alias("phrases"))

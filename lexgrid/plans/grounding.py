@@ -60,17 +60,22 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return l.groupBy("doc_id", F.coalesce("part", F.lit(-1)).alias("from_line")).agg(F.count("*").alias("lines"), F.length(text).alias("signs"))
 
 
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, line_no, term): the lines of documents that define a term."""
+    l = S.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").filter(F.col("line").contains("” means"))
+    return l.select("doc_id", "line_no", T.defined_term(F.col("line")).alias("term")).filter("term is not null")
+
+
 def glossary(spark: SparkSession, d: str) -> DataFrame:
     """Terms that documents define, and in how many documents."""
-    l = S.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").filter(F.col("line").contains("” means"))
-    return l.select("doc_id", T.defined_term(F.col("line")).alias("term")).filter("term is not null").groupBy("term").agg(F.countDistinct("doc_id").alias("documents"))
+    return _definitions(spark, d).groupBy("term").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 def terms_in(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks by glossary terms that they hold; a term is found by its first word, then by its whole."""
-    terms = glossary(spark, d).select("term", T.tokens(F.col("term")).alias("words"))
-    texts = chunks(spark, d, "text").select(T.tokens(F.col("text")).alias("words")).filter("words is not null")
-    return J.phrase_hits(texts, terms).groupBy("term").agg(F.count("*").alias("chunks"))
+    """The glossary terms that stand in each chunk's text, within words too and in any case of letters, in the order in which they are first defined."""
+    terms = _definitions(spark, d).groupBy(F.col("term").alias("phrase")).agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+    texts = chunks(spark, d, "text").filter("text is not null").select("chunk_id", T.normalise(F.col("text")).alias("text"))
+    return J.substrings_in(texts, terms).withColumnRenamed("phrases", "terms")
 
 
 def _lead_ins(c: DataFrame, above: DataFrame) -> DataFrame:

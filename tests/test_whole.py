@@ -1,9 +1,13 @@
 """Queries do the whole job: what a fixed limit used to drop."""
 
+import random
+from datetime import datetime
+
 import pytest
 
 from lexgrid.operators import evaluation as E
-from lexgrid.plans import relations, retrieval
+from lexgrid.operators import joins as J
+from lexgrid.plans import grounding, relations, retrieval
 
 
 def write(spark, folder, name, rows, schema):
@@ -58,3 +62,23 @@ def test_adoption_counts_what_a_slice_loses(spark):
     assert judged(n1=0, n2=0, b1=1, b2=1)["reasons"] == ["slice_loses:none:1.50"]
     assert judged(a1=0, a2=0, n1=0, n2=0)["reasons"] == ["recall_falls", "ndcg_falls", "nothing_rises", "slice_loses:alone:2.00", "slice_loses:none:1.50"]
     assert judged()["reasons"] == ["nothing_rises"]
+
+
+def test_terms_are_found_as_parts_of_texts(spark, folder):
+    """Before, a term was found only as whole words, chunks were counted and the order of the glossary was lost."""
+    lines = [("d2", "x\n“Rent” means a\n“net rent” means b"), ("d1", "(1) “levy” means c\n(2) “कर” means d\n“rent” means e"), ("d0", "“x” is not"), ("d3", None)]
+    write(spark, folder, "documents", lines, "doc_id string, text string")
+    texts = {"a": "Parents' NET\xa0RENTS", "b": "net\nrent of the le\xadvy", "c": "सेवाकर", "d": "none", "e": "", "f": None, "gone": "levy"}
+    rows = [(k, t, None if k != "gone" else datetime(2024, 1, 1)) for k, t in texts.items()]
+    write(spark, folder, "chunks", rows, "chunk_id string, text string, removed_at timestamp")
+    got = {r["chunk_id"]: r["terms"] for r in grounding.terms_in(spark, folder).collect()}
+    assert got == {"a": ["rent", "Rent", "net rent"], "b": ["levy", "rent", "Rent"], "c": ["कर"], "d": [], "e": []}
+
+
+def test_parts_of_texts_are_those_of_a_plain_search(spark):
+    rng = random.Random(5)
+    some = lambda signs, most: "".join(rng.choice(signs) for _ in range(rng.randint(0, most)))
+    texts = [some("abAB  \n§é税😀", 30) for _ in range(300)] + ["", " ", "税" * 3000 + "務😀A", "İstanbul Straße"]
+    phrases = sorted({some("abA §é税😀", 5) for _ in range(150)} | {"", " ", "  ", "務😀a", "i̇s", "SSE", "ßE"})
+    found = J.substrings_in(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame([(p, n) for n, p in enumerate(phrases)], "phrase string, place int"))
+    assert {r["id"]: r["phrases"] for r in found.collect()} == {n: [p for p in phrases if p.lower() in t.lower()] for n, t in enumerate(texts)}
